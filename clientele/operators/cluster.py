@@ -31,22 +31,26 @@ def with_cube_roots(features: DataFrame) -> DataFrame:
 
 
 def scaler(rooted: DataFrame, weight: str | None = None) -> DataFrame:
-    """One row: mean and population deviation of each feature (0 becomes 1)."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    moments = []
-    for c in FEATURES:
-        x = F.col(c)
-        n = F.sum(F.when(x.isNotNull(), w))
-        moments += [(F.sum(x * w) / n).alias(f"{c}_mean")]
-    means = rooted.agg(*moments)
-    spreads = []
-    for c in FEATURES:
-        x = F.col(c)
-        n = F.sum(F.when(x.isNotNull(), w))
-        deviation = x - F.col(f"{c}_mean")
-        spread = F.sqrt(F.sum(w * deviation * deviation) / n)
-        spreads += [F.first(f"{c}_mean").alias(f"{c}_mean"), F.when(spread == 0, 1.0).otherwise(spread).alias(f"{c}_std")]
-    return rooted.crossJoin(F.broadcast(means)).agg(*spreads)
+    """One row: mean and population deviation of each feature (0 becomes 1).
+
+    With a ``weight`` a row counts that many times; the deviation then takes a second
+    pass around the mean, because a one-pass sum of squares loses digits.
+    """
+    means = {c: f"{c}_mean" for c in FEATURES}
+    if weight is None:
+        spreads = {c: F.stddev_pop(c) for c in FEATURES}
+        fitted = rooted.agg(
+            *[F.avg(c).alias(m) for c, m in means.items()], *[s.alias(f"{c}_std") for c, s in spreads.items()]
+        )
+    else:
+        w = F.col(weight).cast("double")
+        sizes = {c: F.sum(F.when(F.col(c).isNotNull(), w)) for c in FEATURES}
+        centre = rooted.agg(*[(F.sum(F.col(c) * w) / sizes[c]).alias(m) for c, m in means.items()])
+        spreads = {c: F.sqrt(F.sum(w * F.pow(F.col(c) - F.col(m), 2)) / sizes[c]) for c, m in means.items()}
+        fitted = rooted.crossJoin(F.broadcast(centre)).agg(
+            *[F.first(m).alias(m) for m in means.values()], *[s.alias(f"{c}_std") for c, s in spreads.items()]
+        )
+    return fitted.withColumns({f"{c}_std": F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in FEATURES})
 
 
 def standardise(rooted: DataFrame, fitted: DataFrame) -> DataFrame:

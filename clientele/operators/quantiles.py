@@ -36,19 +36,29 @@ def _interpolate(low: Column, high: Column, t: Column) -> Column:
     return F.when(t >= 0.5, high - (high - low) * (1 - t)).otherwise(low + (high - low) * t)
 
 
+def _in_one_task(df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    frequency = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    return df.agg(*[F.percentile(F.col(c).cast("double"), wanted, frequency).alias(c) for c in cols])
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """One row with an array of quantiles per column, nulls ignored.
 
-    ``weight`` repeats a row that many times without writing it out. The rank of
-    each quantile is located in two steps: weighted counts per value bucket (at most
-    MAX_BUCKETS rows per column), then the distinct values of only the buckets that
-    hold a wanted rank. Equal values are combined before they are shuffled, so
-    heavy ties cost nothing. ``df`` is read several times and should be staged.
+    ``weight`` repeats a row that many times without writing it out. A counted
+    ROWS_PER_BUCKET rows or fewer go through Spark's exact ``percentile``, which holds
+    the distinct values in one task. Beyond that the rank of each quantile is located
+    in two steps: weighted counts per value bucket (at most MAX_BUCKETS rows per
+    column), then the distinct values of only the buckets that hold a wanted rank.
+    Equal values are combined before they are shuffled, so heavy ties cost nothing.
+    ``df`` is read several times and should be staged.
     """
     if buckets is None:
         buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+        if buckets <= 1:
+            return _in_one_task(df, cols, probs, weight)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols], w.alias("_w"))
     bucketed = _with_buckets(doubles, cols, buckets)

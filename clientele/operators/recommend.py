@@ -34,14 +34,18 @@ def with_frequency(rows: DataFrame, client: str, service: str) -> DataFrame:
     return with_group_values(rows, [client, service], Frequency=F.count("*"))
 
 
-def client_service_pivot(freq: DataFrame, services: list[str]) -> DataFrame:
-    """Wide export: one row per client, one column per service, 0 where not taken."""
+def client_service_pivot(freq: DataFrame, services: list[str] | None = None) -> DataFrame:
+    """Wide export: one row per client, one column per service, 0 where not taken.
+
+    Without a list Spark looks the services up first and stops at
+    ``spark.sql.pivotMaxValues``.
+    """
     return freq.groupBy("client").pivot("service", services).agg(F.sum("frequency")).na.fill(0)
 
 
 def services_taken(vectors: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` services of each client in name order, as one text."""
-    return vectors.select("client", F.array_join(F.slice("items.service", 1, n), ", ").alias("services_taken"))
+    return vectors.select("client", F.array_join(F.slice(F.array_sort("items.service"), 1, n), ", ").alias("services_taken"))
 
 
 def candidates(vectors: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:

@@ -103,7 +103,7 @@ def fit(freq: DataFrame, sample_n: int | None = None) -> Recommender:
     """Vectors of all clients, or of a reproducible sample of them."""
     if sample_n is not None:
         freq = freq.join(sample_keys(freq, "client", sample_n), "client", "left_semi")
-    vectors = stage(similarity.client_vectors(freq), "client_vectors")
+    vectors = stage(similarity.client_vectors(stage(freq, "client_service_freq")), "client_vectors")
     return Recommender(vectors, stage(similarity.profiles_of(vectors), "client_profiles"))
 
 
