@@ -11,6 +11,7 @@ from clientele.operators.similarity import (
     service_scores,
     similar_to,
     top_neighbours,
+    top_service_scores,
 )
 
 TOP_SERVICES = 5
@@ -59,23 +60,13 @@ def candidates(vectors: DataFrame, profiles: DataFrame, threshold: float) -> Dat
     )
 
 
-def rank_services(scores: DataFrame, n: int = TOP_SERVICES) -> DataFrame:
-    """Best ``n`` services per client: score first, then service name."""
-    order = Window.partitionBy("client").orderBy(F.desc("score"), "service")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-
-
 def top_services(vectors: DataFrame, profiles: DataFrame, threshold: float, n: int = TOP_SERVICES) -> DataFrame:
     """Each client's best ``n`` new services, every service once.
 
     Ranked per profile, then handed to the profile's clients.
     """
-    ranked = rank_services(service_scores(profiles, threshold), n).withColumnRenamed("client", "profile")
-    return (
-        client_profiles(vectors, profiles)
-        .join(ranked, "profile")
-        .select("client", "service", "score", "supporters", "rank")
-    )
+    ranked = top_service_scores(profiles, threshold, n).withColumnRenamed("client", "profile")
+    return client_profiles(vectors, profiles).join(ranked, "profile").select("client", "service", "score", "rank")
 
 
 def top_services_raw(vectors: DataFrame, profiles: DataFrame, threshold: float, n: int = TOP_SERVICES) -> DataFrame:
