@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.numbers import exact_mean, half_even, percent_text, ratio_text
+from clientele.functions.rows import one_row
 from clientele.functions.scoring import FEATURES
 from clientele.functions.text import label
 
@@ -46,17 +47,18 @@ def scaler(rooted: DataFrame, weight: str | None = None) -> DataFrame:
         w = F.col(weight).cast("double")
         sizes = {c: F.sum(F.when(F.col(c).isNotNull(), w)) for c in FEATURES}
         centre = rooted.agg(*[(F.sum(F.col(c) * w) / sizes[c]).alias(m) for c, m in means.items()])
-        spreads = {c: F.sqrt(F.sum(w * F.pow(F.col(c) - F.col(m), 2)) / sizes[c]) for c, m in means.items()}
-        fitted = rooted.crossJoin(F.broadcast(centre)).agg(
-            *[F.first(m).alias(m) for m in means.values()], *[s.alias(f"{c}_std") for c, s in spreads.items()]
+        middle = one_row(centre)
+        spreads = {c: F.sqrt(F.sum(w * F.pow(F.col(c) - middle[m], 2)) / sizes[c]) for c, m in means.items()}
+        fitted = rooted.agg(*[s.alias(f"{c}_std") for c, s in spreads.items()]).withColumns(
+            {m: middle[m] for m in means.values()}
         )
     return fitted.withColumns({f"{c}_std": F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in FEATURES})
 
 
 def standardise(rooted: DataFrame, fitted: DataFrame) -> DataFrame:
     """(x - mean) / std for each feature, with a one-row scaler frame."""
-    scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in FEATURES}
-    return rooted.crossJoin(F.broadcast(fitted)).withColumns(scaled).drop(*fitted.columns)
+    row = one_row(fitted)
+    return rooted.withColumns({c: (F.col(c) - row[f"{c}_mean"]) / row[f"{c}_std"] for c in FEATURES})
 
 
 def fit(standardised: DataFrame, k: int = 4, seed: int = 42, weight: str | None = None) -> Clustering:
@@ -120,9 +122,9 @@ def assign_features(features: DataFrame, fitted: DataFrame, clustering: Clusteri
 def relative_importance(assigned: DataFrame) -> DataFrame:
     """Cluster mean over population mean, minus 1, per feature."""
     sums = assigned.groupBy("Cluster Segment").agg(*[exact_mean(F.col(c)).alias(c) for c in FEATURES])
-    population = assigned.agg(*[exact_mean(F.col(c)).alias(f"{c}_all") for c in FEATURES])
-    ratios = [(F.col(c) / F.col(f"{c}_all") - 1).alias(f"Relative {c}") for c in FEATURES]
-    return sums.crossJoin(F.broadcast(population)).select("Cluster Segment", *ratios)
+    population = assigned.agg(*[exact_mean(F.col(c)).alias(c) for c in FEATURES])
+    everyone = one_row(population)
+    return sums.select("Cluster Segment", *[(F.col(c) / everyone[c] - 1).alias(f"Relative {c}") for c in FEATURES])
 
 
 def cluster_profile(assigned: DataFrame) -> DataFrame:
@@ -130,21 +132,16 @@ def cluster_profile(assigned: DataFrame) -> DataFrame:
     stats = assigned.groupBy("Cluster", "Cluster Segment").agg(
         F.count("*").alias("Count"), *[exact_mean(F.col(c)).alias(c) for c in FEATURES]
     )
-    total = stats.agg(F.sum("Count").alias("_total"))
-    importance = relative_importance(assigned)
-    return (
-        stats.crossJoin(F.broadcast(total))
-        .join(importance, "Cluster Segment")
-        .select(
-            "Cluster",
-            "Cluster Segment",
-            "Count",
-            percent_text(F.col("Count") / F.col("_total") * 100).alias("Percent"),
-            half_even(F.col("Recency")).alias("Avg_Days_Since_Last_Visit"),
-            half_even(F.col("Frequency")).alias("Avg_Num_Visits"),
-            half_even(F.col("Monetary")).alias("Avg_Bill_Value"),
-            *[ratio_text(F.col(f"Relative {c}")).alias(f"Relative {c}") for c in FEATURES],
-        )
+    total = one_row(stats.agg(F.sum("Count").alias("total")))["total"]
+    return stats.join(relative_importance(assigned), "Cluster Segment").select(
+        "Cluster",
+        "Cluster Segment",
+        "Count",
+        percent_text(F.col("Count") / total * 100).alias("Percent"),
+        half_even(F.col("Recency")).alias("Avg_Days_Since_Last_Visit"),
+        half_even(F.col("Frequency")).alias("Avg_Num_Visits"),
+        half_even(F.col("Monetary")).alias("Avg_Bill_Value"),
+        *[ratio_text(F.col(f"Relative {c}")).alias(f"Relative {c}") for c in FEATURES],
     )
 
 

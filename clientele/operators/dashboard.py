@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clientele.columns import ClientColumns, LineColumns, TicketColumns
 from clientele.functions.dates import in_year, long_date, month_name
 from clientele.functions.numbers import exact_mean, money_sum, money_text
+from clientele.functions.rows import one_row
 from clientele.functions.text import bracket_list, label, quoted_list
 
 # Labels of the sex codes.
@@ -39,9 +40,9 @@ def kpi_totals(
         F.count(F.when(F.col(cols.kind) == cols.service_kind, F.col(cols.ticket))).alias("total_services"),
         F.count(F.when(F.col(cols.kind) == cols.product_kind, F.col(cols.ticket))).alias("total_products"),
     )
-    return from_tickets.crossJoin(F.broadcast(from_lines)).select(
-        "total_sales", "total_services", "total_products", "total_customers"
-    )
+    counted = one_row(from_lines)
+    items = [counted[c].alias(c) for c in from_lines.columns]
+    return from_tickets.select("total_sales", *items, "total_customers")
 
 
 def daily_revenue(tickets: DataFrame, year: int, total: str = "Total", date: str = "Bill_Date") -> DataFrame:
@@ -81,14 +82,14 @@ def revenue_summary(tickets: DataFrame, year: int, total: str = "Total", date: s
         money_sum(F.col("Total")).alias("total_revenue"),
         F.min(F.struct((-F.col("Total")).alias("neg"), F.col("Bill_Month").alias("name"))).alias("m"),
     )
-    day = daily.groupBy().agg(F.min(F.struct((-F.col("Total")).alias("neg"), F.col("Bill_Date").alias("date"))).alias("d"))
+    best = daily.groupBy().agg(F.min(F.struct((-F.col("Total")).alias("neg"), F.col("Bill_Date").alias("date"))).alias("d"))
+    day = one_row(best)["d"]
     return (
-        monthly.crossJoin(F.broadcast(day))
-        .select(
+        monthly.select(
             F.lit(year).alias("year"),
             "total_revenue",
-            long_date(F.col("d.date")).alias("biggest_date"),
-            (-F.col("d.neg")).alias("biggest_day_sales"),
+            long_date(day["date"]).alias("biggest_date"),
+            (-day["neg"]).alias("biggest_day_sales"),
             F.col("m.name").alias("biggest_month"),
             (-F.col("m.neg")).alias("biggest_month_sales"),
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions import scoring
 from clientele.functions.numbers import exact_mean, half_even
+from clientele.functions.rows import one_row
 from clientele.operators.quantiles import exact_quantiles
 
 
@@ -16,20 +17,15 @@ def rfm_quantiles(features: DataFrame, weight: str | None = None) -> DataFrame:
 
 def with_scores(features: DataFrame, cuts: DataFrame) -> DataFrame:
     """R, F, M bands, their digits and their sum. ``cuts`` is the one-row frame."""
-    row = cuts.select(*[F.col(c).alias(f"_{c}") for c in scoring.FEATURES])
-    r = scoring.band(F.col("Recency"), F.col("_Recency"), highest_first=True)
-    f = scoring.band(F.col("Frequency"), F.col("_Frequency"))
-    m = scoring.band(F.col("Monetary"), F.col("_Monetary"))
-    return (
-        features.crossJoin(F.broadcast(row))
-        .withColumns({"R": r, "F": f, "M": m})
-        .drop(*row.columns)
-        .withColumns(
-            {
-                "RFM_Segment": scoring.digits(F.col("R"), F.col("F"), F.col("M")),
-                "RFM_Score": F.col("R") + F.col("F") + F.col("M"),
-            }
-        )
+    row = one_row(cuts)
+    r = scoring.band(F.col("Recency"), row["Recency"], highest_first=True)
+    f = scoring.band(F.col("Frequency"), row["Frequency"])
+    m = scoring.band(F.col("Monetary"), row["Monetary"])
+    return features.withColumns({"R": r, "F": f, "M": m}).withColumns(
+        {
+            "RFM_Segment": scoring.digits(F.col("R"), F.col("F"), F.col("M")),
+            "RFM_Score": F.col("R") + F.col("F") + F.col("M"),
+        }
     )
 
 
@@ -46,9 +42,8 @@ def with_tier(scored: DataFrame) -> DataFrame:
 def share(df: DataFrame, group: str) -> DataFrame:
     """Rows per group and their percentage, one decimal; one pass over the rows."""
     counts = df.groupBy(group).agg(F.count("*").alias("Count"))
-    total = counts.agg(F.sum("Count").alias("_total"))
-    percent = half_even(F.col("Count") / F.col("_total") * 100)
-    return counts.crossJoin(F.broadcast(total)).select(group, "Count", percent.alias("Percent"))
+    total = one_row(counts.agg(F.sum("Count").alias("total")))["total"]
+    return counts.select(group, "Count", half_even(F.col("Count") / total * 100).alias("Percent"))
 
 
 def _profile(df: DataFrame, group: str, description: Column) -> DataFrame:

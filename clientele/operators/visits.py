@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from clientele.columns import RfmColumns
 from clientele.functions.dates import elapsed_days
 from clientele.functions.numbers import money_sum
+from clientele.functions.rows import one_row
 from clientele.functions.scoring import FEATURES
 
 
@@ -27,15 +28,11 @@ def with_recency(visits: DataFrame, client: str = "ClientID", cutoff: DataFrame
     """
     if cutoff is None:
         cutoff = visits.agg(F.max("LastVisit").alias("cutoff"))
-    return (
-        visits.filter(F.col(client).isNotNull())
-        .crossJoin(F.broadcast(cutoff))
-        .select(
-            client,
-            "TotalSpend",
-            "NumVisits",
-            elapsed_days(F.col("LastVisit"), F.col("cutoff")).alias("DaysSinceLastVisit"),
-        )
+    return visits.filter(F.col(client).isNotNull()).select(
+        client,
+        "TotalSpend",
+        "NumVisits",
+        elapsed_days(F.col("LastVisit"), one_row(cutoff)["cutoff"]).alias("DaysSinceLastVisit"),
     )
 
 
