@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -53,14 +54,14 @@ TIER_DESCRIPTIONS = {
 }
 
 
-def band(value: Column, cuts: Column, highest_first: bool = False) -> Column:
+def band(value: Column, cuts: Sequence[float], highest_first: bool = False) -> Column:
     """Band 1..n+1 of ``value`` between sorted cuts; a value on a cut stays below it.
 
     ``highest_first`` numbers the bands downwards (few days since the last visit
     score high). A null value lies in no band and takes the last number.
     """
     last = len(QUINTILES) + 1
-    passed = sum(((value > cuts[i]).cast("int") for i in range(len(QUINTILES))), F.lit(1))
+    passed = sum(((value > F.lit(cut)).cast("int") for cut in cuts), F.lit(1))
     number = F.coalesce(passed, F.lit(last))
     return (F.lit(last + 1) - number) if highest_first else number
 

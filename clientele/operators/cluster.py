@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -18,6 +18,9 @@ from clientele.functions.text import label
 FIXED_NAMES = {3: "New Customers", 2: "At Risk Customers", 1: "Loyal Customers", 0: "Churned Customers"}
 
 
+Scaler = Mapping[str, tuple[float, float]]
+
+
 @dataclass(frozen=True)
 class Clustering:
     """Fitted parameters: a handful of numbers, whatever the size of the data."""
@@ -55,10 +58,15 @@ def scaler(rooted: DataFrame, weight: str | None = None) -> DataFrame:
     return fitted.withColumns({f"{c}_std": F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in FEATURES})
 
 
-def standardise(rooted: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(x - mean) / std for each feature, with a one-row scaler frame."""
-    row = one_row(fitted)
-    return rooted.withColumns({c: (F.col(c) - row[f"{c}_mean"]) / row[f"{c}_std"] for c in FEATURES})
+def fit_scaler(rooted: DataFrame, weight: str | None = None) -> Scaler:
+    """Mean and deviation of each feature as numbers."""
+    row = scaler(rooted, weight).first()
+    return {c: (row[f"{c}_mean"], row[f"{c}_std"]) for c in FEATURES}
+
+
+def standardise(rooted: DataFrame, fitted: Scaler) -> DataFrame:
+    """(x - mean) / std for each feature."""
+    return rooted.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in fitted.items()})
 
 
 def fit(standardised: DataFrame, k: int = 4, seed: int = 42, weight: str | None = None) -> Clustering:
@@ -106,7 +114,7 @@ def assign(standardised: DataFrame, clustering: Clustering) -> DataFrame:
     )
 
 
-def assign_features(features: DataFrame, fitted: DataFrame, clustering: Clustering, raw_features: bool = False) -> DataFrame:
+def assign_features(features: DataFrame, fitted: Scaler, clustering: Clustering, raw_features: bool = False) -> DataFrame:
     """Cluster of every row, next to its unscaled features.
 
     ``raw_features`` scales the features without taking cube roots first, as the

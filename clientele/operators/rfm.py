@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions import scoring
@@ -10,17 +12,25 @@ from clientele.functions.rows import one_row
 from clientele.operators.quantiles import exact_quantiles
 
 
+Cuts = Mapping[str, Sequence[float]]
+
+
 def rfm_quantiles(features: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: the four quintile cuts of each feature."""
     return exact_quantiles(features, scoring.FEATURES, scoring.QUINTILES, weight)
 
 
-def with_scores(features: DataFrame, cuts: DataFrame) -> DataFrame:
-    """R, F, M bands, their digits and their sum. ``cuts`` is the one-row frame."""
-    row = one_row(cuts)
-    r = scoring.band(F.col("Recency"), row["Recency"], highest_first=True)
-    f = scoring.band(F.col("Frequency"), row["Frequency"])
-    m = scoring.band(F.col("Monetary"), row["Monetary"])
+def fit_cuts(features: DataFrame, weight: str | None = None) -> Cuts:
+    """The cuts as numbers, four per feature, for scoring now or later."""
+    row = rfm_quantiles(features, weight).first()
+    return {c: list(row[c] or [None] * len(scoring.QUINTILES)) for c in scoring.FEATURES}
+
+
+def with_scores(features: DataFrame, cuts: Cuts) -> DataFrame:
+    """R, F, M bands, their digits and their sum: comparisons with constants, no join."""
+    r = scoring.band(F.col("Recency"), cuts["Recency"], highest_first=True)
+    f = scoring.band(F.col("Frequency"), cuts["Frequency"])
+    m = scoring.band(F.col("Monetary"), cuts["Monetary"])
     return features.withColumns({"R": r, "F": f, "M": m}).withColumns(
         {
             "RFM_Segment": scoring.digits(F.col("R"), F.col("F"), F.col("M")),

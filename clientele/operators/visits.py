@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import RfmColumns
 from clientele.functions.dates import elapsed_days
@@ -21,25 +21,26 @@ def client_visits(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame
     )
 
 
-def with_recency(visits: DataFrame, client: str = "ClientID", cutoff: DataFrame | None = None) -> DataFrame:
-    """Days between each client's last visit and the latest date of the whole table.
+def latest_visit(visits: DataFrame) -> Column:
+    """The latest date of staged visits as a constant."""
+    latest = F.max("LastVisit").cast("string").alias("latest")
+    return F.lit(visits.agg(latest).first()["latest"]).cast(dict(visits.dtypes)["LastVisit"])
 
-    ``cutoff`` is a one-row frame; by default the latest visit in ``visits``.
-    """
-    if cutoff is None:
-        cutoff = visits.agg(F.max("LastVisit").alias("cutoff"))
+
+def with_recency(visits: DataFrame, cutoff: Column, client: str = "ClientID") -> DataFrame:
+    """Days between each client's last visit and the cut-off."""
     return visits.filter(F.col(client).isNotNull()).select(
         client,
         "TotalSpend",
         "NumVisits",
-        elapsed_days(F.col("LastVisit"), one_row(cutoff)["cutoff"]).alias("DaysSinceLastVisit"),
+        elapsed_days(F.col("LastVisit"), cutoff).alias("DaysSinceLastVisit"),
     )
 
 
 def client_features(tickets: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
     """Features at client grain; the cut-off is a second, one-column scan."""
-    cutoff = tickets.agg(F.max(cols.date).alias("cutoff"))
-    return with_recency(client_visits(tickets, cols), cols.client, cutoff)
+    latest = one_row(tickets.agg(F.max(cols.date).alias("latest")))["latest"]
+    return with_recency(client_visits(tickets, cols), latest, cols.client)
 
 
 def as_rfm(features: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clientele.columns import RfmColumns
 from clientele.functions.scoring import FEATURES
 from clientele.operators import cluster, rfm
-from clientele.operators.visits import as_rfm, client_visits, with_recency
+from clientele.operators.visits import as_rfm, client_visits, latest_visit, with_recency
 from clientele.session import stage
 from clientele.sources.artefacts import load_rfm_model, save_rfm_model
 
@@ -20,12 +20,13 @@ def rfm_features(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
     The rows are scanned and shuffled once; what is left has one row per client and
     is staged, because cut-off, quantiles and scores each read it.
     """
-    return as_rfm(with_recency(stage(client_visits(rows, cols), "client_visits"), cols.client))
+    visits = stage(client_visits(rows, cols), "client_visits")
+    return as_rfm(with_recency(visits, latest_visit(visits), cols.client))
 
 
-def score(features: DataFrame, cuts: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+def score(features: DataFrame, cuts: rfm.Cuts | None = None) -> DataFrame:
     """Scores, segment and tier of every client; cuts are fitted unless given."""
-    scored = rfm.with_scores(features, cuts if cuts is not None else rfm.rfm_quantiles(features, weight))
+    scored = rfm.with_scores(features, rfm.fit_cuts(features) if cuts is None else cuts)
     return rfm.with_tier(rfm.with_segment(scored))
 
 
@@ -41,7 +42,7 @@ def rfm_row_scores(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFram
     """
     features = rfm_features(rows, cols)
     complete = features.na.drop(subset=list(FEATURES))
-    return score(complete, rfm.rfm_quantiles(features, weight="Frequency"))
+    return score(complete, rfm.fit_cuts(features, weight="Frequency"))
 
 
 def rfm_by_row(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
@@ -53,12 +54,12 @@ def rfm_by_row(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
 class RfmModel:
     """Everything needed to score and cluster other clients later."""
 
-    cuts: DataFrame
-    scaler: DataFrame
+    cuts: rfm.Cuts
+    scaler: cluster.Scaler
     clustering: cluster.Clustering
 
-    def save(self, path: str) -> None:
-        save_rfm_model(self.cuts.sparkSession, self.cuts, self.scaler, self.clustering, path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_rfm_model(spark, self.cuts, self.scaler, self.clustering, path)
 
     def predict(self, features: DataFrame, raw_features: bool = False) -> DataFrame:
         """Cluster, scores, segment and tier of every complete client.
@@ -79,10 +80,10 @@ def fit_model(features: DataFrame, k: int = 4, seed: int = 42, weight: str | Non
     """Cuts, scaler and clusters. ``weight`` = 'Frequency' fits at row grain."""
     weighted = features.withColumn("_weight", F.col(weight)) if weight else features
     rooted = cluster.with_cube_roots(weighted.na.drop(subset=list(FEATURES)))
-    fitted = stage(cluster.scaler(rooted, "_weight" if weight else None), "scaler")
+    fitted = cluster.fit_scaler(rooted, "_weight" if weight else None)
     ready = stage(cluster.standardise(rooted, fitted), "standardised")
     clustering = cluster.fit(ready, k, seed, "_weight" if weight else None)
-    return RfmModel(stage(rfm.rfm_quantiles(features, weight), "cuts"), fitted, clustering)
+    return RfmModel(rfm.fit_cuts(features, weight), fitted, clustering)
 
 
 def standardised_clusters(features: DataFrame, model: RfmModel) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from clientele.operators.cluster import Clustering
+from clientele.functions.scoring import FEATURES
+from clientele.operators.cluster import Clustering, Scaler
+from clientele.operators.rfm import Cuts
 
+FEATURE_PARAMETERS = "feature string, cuts array<double>, mean double, std double"
 CENTROIDS = "cluster int, centroid array<double>, name string"
 
 
@@ -25,13 +28,17 @@ def centroid_frame(spark: SparkSession, clustering: Clustering) -> DataFrame:
     return spark.createDataFrame(rows, CENTROIDS)
 
 
-def save_rfm_model(spark: SparkSession, cuts: DataFrame, scaler: DataFrame, clustering: Clustering, path: str) -> None:
-    """Quintile cuts, scaler and centroids: three tables of a few rows."""
-    save_tables({"cuts": cuts, "scaler": scaler, "centroids": centroid_frame(spark, clustering)}, path)
+def save_rfm_model(spark: SparkSession, cuts: Cuts, scaler: Scaler, clustering: Clustering, path: str) -> None:
+    """Quintile cuts, scaler and centroids: two tables of a few rows."""
+    rows = [(c, list(cuts[c]), *scaler[c]) for c in FEATURES]
+    features = spark.createDataFrame(rows, FEATURE_PARAMETERS)
+    save_tables({"features": features, "centroids": centroid_frame(spark, clustering)}, path)
 
 
-def load_rfm_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Clustering]:
-    tables = load_tables(spark, ["cuts", "scaler", "centroids"], path)
-    rows = tables["centroids"].orderBy(F.col("cluster")).collect()  # k rows
+def load_rfm_model(spark: SparkSession, path: str) -> tuple[Cuts, Scaler, Clustering]:
+    tables = load_tables(spark, ["features", "centroids"], path)
+    features = tables["features"].collect()  # one row per feature
+    rows = tables["centroids"].orderBy("cluster").collect()  # k rows
     clustering = Clustering([list(r["centroid"]) for r in rows], {r["cluster"]: r["name"] for r in rows})
-    return tables["cuts"], tables["scaler"], clustering
+    scaler = {r["feature"]: (r["mean"], r["std"]) for r in features}
+    return {r["feature"]: list(r["cuts"]) for r in features}, scaler, clustering

@@ -16,7 +16,7 @@ from clientele.functions.numbers import count_text, money_text
 from clientele.operators import cleaning, cluster, dashboard, joins, recommend, rfm, sampling, services, visits
 from clientele.plans import prepare, recommender
 from clientele.plans import rfm as rfm_plan
-from clientele.session import shared_folder
+from clientele.session import new_path
 from clientele.sources import exports, tables
 from registry.views import BLOCKED, Views
 
@@ -44,12 +44,6 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in cols})
 
 
-def _scratch(v: Views, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(v.spark)}/clientele/{uuid.uuid4().hex}/{name}"
-
-
 # --- sources, cleaning -------------------------------------------------------
 
 
@@ -63,7 +57,7 @@ def _dated_lines(v: Views) -> DataFrame:
 
 @query
 def csv_latin1_roundtrip(v: Views) -> DataFrame:
-    path = _scratch(v, "clients.csv")
+    path = new_path(v.spark, "clients.csv")
     text = v.table("customer").select(
         F.col("c_custkey").cast("string").alias("ClientID"),
         F.concat(F.lit("Zoë ÀÿÖ "), "c_name").alias("FirstName"),
@@ -363,7 +357,7 @@ def tier_export(v: Views) -> DataFrame:
 
 def _tier_files(v: Views, tier: str) -> DataFrame:
     """Rows read back from the files of one exported tier."""
-    path = _scratch(v, "tiers")
+    path = new_path(v.spark, "tiers")
     exports.write_tiers(
         _scored(v).select("ClientID", "Recency", "Frequency", "Monetary", "RFM_Score", "Tier"), path
     )
@@ -407,12 +401,12 @@ def tier_preview(v: Views) -> DataFrame:
 @query
 def rfm_cbrt_z(v: Views) -> DataFrame:
     rooted = cluster.with_cube_roots(_features(v))
-    return _rounded(cluster.standardise(rooted, cluster.scaler(rooted)), *scoring.FEATURES)
+    return _rounded(cluster.standardise(rooted, cluster.fit_scaler(rooted)), *scoring.FEATURES)
 
 
 def _given_clusters(v: Views) -> DataFrame:
     features = _features(v)
-    return cluster.assign_features(features, cluster.scaler(cluster.with_cube_roots(features)), GIVEN)
+    return cluster.assign_features(features, cluster.fit_scaler(cluster.with_cube_roots(features)), GIVEN)
 
 
 @query
@@ -438,7 +432,7 @@ def cluster_share_given(v: Views) -> DataFrame:
 @query
 def cluster_snake_given(v: Views) -> DataFrame:
     rooted = cluster.with_cube_roots(_features(v))
-    assigned = cluster.assign(cluster.standardise(rooted, cluster.scaler(rooted)), GIVEN)
+    assigned = cluster.assign(cluster.standardise(rooted, cluster.fit_scaler(rooted)), GIVEN)
     return _rounded(cluster.cluster_snake(assigned), "Value")
 
 
@@ -479,8 +473,8 @@ def cluster_snake(v: Views) -> DataFrame:
 def rfm_score_saved_model(v: Views) -> DataFrame:
     """Fit, save, load, predict: scores and clusters from the stored parameters."""
     features = _features(v)
-    path = _scratch(v, "model")
-    rfm_plan.fit_model(features).save(path)
+    path = new_path(v.spark, "model")
+    rfm_plan.fit_model(features).save(v.spark, path)
     scored = rfm_plan.load_model(v.spark, path).predict(features)
     return scored.select("ClientID", "RFM_Segment", "Segment", "Tier", "Cluster", "Cluster Segment")
 
@@ -488,8 +482,8 @@ def rfm_score_saved_model(v: Views) -> DataFrame:
 @query
 def rfm_score_saved_cuts(v: Views) -> DataFrame:
     features = _features(v)
-    path = _scratch(v, "model")
-    rfm_plan.fit_model(features).save(path)
+    path = new_path(v.spark, "model")
+    rfm_plan.fit_model(features).save(v.spark, path)
     return rfm_plan.load_model(v.spark, path).predict(features).select("ClientID", "RFM_Segment", "Segment", "Tier")
 
 
@@ -597,6 +591,6 @@ def rec_sampled(v: Views) -> DataFrame:
 @query
 def rec_from_saved(v: Views) -> DataFrame:
     """Fit and save at the lowest threshold, recommend from the files at a higher one."""
-    path = _scratch(v, "recommender")
+    path = new_path(v.spark, "recommender")
     _bookings_fit(v).save(path)
     return recommender.saved_scores(v.spark, path, THRESHOLD)
