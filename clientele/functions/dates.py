@@ -11,10 +11,11 @@ def parse_datetime(c: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 
 
 def in_year(c: Column, year: int) -> Column:
-    """Half-open range instead of ``year(c) = y``: only the range is pushed to the scan."""
-    first = F.expr(f"timestamp_ntz'{year:04d}-01-01 00:00:00'")
-    after = F.expr(f"timestamp_ntz'{year + 1:04d}-01-01 00:00:00'")
-    return (c >= first) & (c < after)
+    """Half-open range instead of ``year(c) = y``: only the range is pushed to the scan.
+
+    Date constants suit dates and timestamps: Spark casts the constant, not the column.
+    """
+    return (c >= F.expr(f"date'{year:04d}-01-01'")) & (c < F.expr(f"date'{year + 1:04d}-01-01'"))
 
 
 def elapsed_days(earlier: Column, later: Column) -> Column:

@@ -19,7 +19,8 @@ def without_clients(df: DataFrame, client: str, blocked: Sequence[str] | DataFra
     """
     kept = df.na.drop(subset=[client])
     if isinstance(blocked, DataFrame):
-        return kept.join(blocked.select(F.col(blocked.columns[0]).alias(client)), client, "left_anti")
+        known = blocked.select(F.col(blocked.columns[0]).alias(client))
+        return kept.join(known, client, "left_anti").select(*df.columns)
     return kept.filter(~F.col(client).isin(*blocked)) if blocked else kept
 
 

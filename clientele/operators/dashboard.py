@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import ClientColumns, LineColumns, TicketColumns
 from clientele.functions.dates import in_year, long_date, month_name
@@ -74,22 +74,26 @@ def best_month(monthly: DataFrame) -> DataFrame:
 def revenue_summary(tickets: DataFrame, year: int, total: str = "Total", date: str = "Bill_Date") -> DataFrame:
     """The year's revenue, its best day and best month, and the sentence that tells them.
 
-    Day totals are few per year, so everything after the first aggregation is small:
-    the tickets are scanned once.
+    One chain of days, months, year: the tickets are scanned once, and what follows
+    the first aggregation has a row per day at most.
     """
-    daily = daily_revenue(tickets, year, total, date)
-    monthly = monthly_revenue(daily).groupBy().agg(
-        money_sum(F.col("Total")).alias("total_revenue"),
-        F.min(F.struct((-F.col("Total")).alias("neg"), F.col("Bill_Month").alias("name"))).alias("m"),
+
+    def best(amount: str, name: str) -> Column:
+        return F.struct((-F.col(amount)).alias("neg"), F.col(name).alias("name"))
+
+    months = (
+        daily_revenue(tickets, year, total, date)
+        .groupBy(month_name(F.col("Bill_Date")).alias("Bill_Month"))
+        .agg(money_sum(F.col("Total")).alias("Total"), F.min(best("Total", "Bill_Date")).alias("d"))
     )
-    best = daily.groupBy().agg(F.min(F.struct((-F.col("Total")).alias("neg"), F.col("Bill_Date").alias("date"))).alias("d"))
-    day = one_row(best)["d"]
     return (
-        monthly.select(
+        months.groupBy()
+        .agg(money_sum(F.col("Total")).alias("total_revenue"), F.min("d").alias("d"), F.min(best("Total", "Bill_Month")).alias("m"))
+        .select(
             F.lit(year).alias("year"),
             "total_revenue",
-            long_date(day["date"]).alias("biggest_date"),
-            (-day["neg"]).alias("biggest_day_sales"),
+            long_date(F.col("d.name")).alias("biggest_date"),
+            (-F.col("d.neg")).alias("biggest_day_sales"),
             F.col("m.name").alias("biggest_month"),
             (-F.col("m.neg")).alias("biggest_month_sales"),
         )

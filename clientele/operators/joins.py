@@ -39,7 +39,7 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> D
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
     per_group = known.groupBy(*keys).agg(*[c.alias(name) for name, c in values.items()])
-    return df.join(per_group, list(keys), "left")
+    return df.join(per_group, list(keys), "left").select(*df.columns, *values)
 
 
 def booking_service_chain(

@@ -101,7 +101,10 @@ def top_services_raw(vectors: DataFrame, profiles: DataFrame, threshold: float,
 
 
 def recommend_for(client, freq: DataFrame, threshold: float) -> DataFrame:
-    """New services for one client with their scores, without scoring anyone else."""
+    """New services for one client with their scores, without scoring anyone else.
+
+    ``freq`` is read a few times and should be staged or a saved table.
+    """
     near = similar_to(client, freq, threshold)
     owned = freq.filter(F.col("client") == client).select("service")
     return (

@@ -16,7 +16,7 @@ from clientele.functions.numbers import count_text, money_text
 from clientele.operators import cleaning, cluster, dashboard, joins, recommend, rfm, sampling, services, visits
 from clientele.plans import prepare, recommender
 from clientele.plans import rfm as rfm_plan
-from clientele.session import new_path
+from clientele.session import new_path, stage
 from clientele.sources import exports, tables
 from registry.views import BLOCKED, Views
 
@@ -554,7 +554,7 @@ def rec_clients(v: Views) -> DataFrame:
 
 @query
 def rec_for_client(v: Views) -> DataFrame:
-    return recommend.recommend_for(ONE_CLIENT, _ticket_freq(v), THRESHOLD)
+    return recommend.recommend_for(ONE_CLIENT, stage(_ticket_freq(v), "client_service_freq"), THRESHOLD)
 
 
 @query
