@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -71,10 +72,10 @@ def digits(*scores: Column) -> Column:
 
 
 def segment(recency: Column, frequency: Column) -> Column:
-    code = digits(recency, frequency)
-    rules = [(code.rlike(f"^{pattern}$"), F.lit(name)) for pattern, name in SEGMENTS.items()]
-    first, *rest = rules
-    return reduce(lambda chain, rule: chain.when(*rule), rest, F.when(*first))
+    """The segment of a code, looked up in a constant array of all codes."""
+    steps = range(1, len(QUINTILES) + 2)
+    names = [next(s for p, s in SEGMENTS.items() if re.fullmatch(p, f"{r}{f}")) for r in steps for f in steps]
+    return F.element_at(F.array(*[F.lit(n) for n in names]), (recency - 1) * len(steps) + frequency)
 
 
 def segment_description(segment_name: Column) -> Column:

@@ -28,6 +28,21 @@ def lines_with_tickets(
     return left.join(right, on, "left").drop("_ticket")
 
 
+def lines_of_clients(
+    lines: DataFrame,
+    tickets: DataFrame,
+    clients: DataFrame,
+    line_cols: LineColumns = LineColumns(),
+    ticket_cols: TicketColumns = TicketColumns(),
+) -> DataFrame:
+    """Lines whose ticket belongs to one of ``clients``, with that client's columns.
+
+    Clients meet the tickets before the lines do, the smaller join first.
+    """
+    owned = tickets.select(ticket_cols.ticket, ticket_cols.client, ticket_cols.total).join(clients, ticket_cols.client)
+    return lines_with_tickets(lines, owned, line_cols, ticket_cols).filter(F.col(ticket_cols.client).isNotNull())
+
+
 def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
     """Add per-group aggregates to every row; rows with a null key get null.
 

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientele.columns import RfmColumns
+from clientele.columns import LineColumns, RfmColumns, TicketColumns
+from clientele.functions.numbers import MONEY
 from clientele.functions.scoring import FEATURES
-from clientele.operators import cluster, rfm
+from clientele.operators import cluster, joins, rfm
 from clientele.operators.visits import as_rfm, client_visits, latest_visit, with_recency
 from clientele.session import stage
 from clientele.sources.artefacts import load_rfm_model, save_rfm_model
@@ -35,19 +36,63 @@ def rfm_by_client(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame
     return score(rfm_features(rows, cols))
 
 
-def rfm_row_scores(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
-    """Every row counts in the quintiles: a client weighs as much as it has rows.
+def rfm_by_row(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
+    """Scores on every row that has a client with complete features; every row counts
+    in the quintiles, so a client weighs as much as it has rows.
 
-    Computed per client with that weight, so the rows need not be sorted or joined.
+    The cuts are fitted per client with that weight. Only the features are joined to
+    the rows; scores and names are computed behind the join, where they cost no shuffle.
     """
     features = rfm_features(rows, cols)
+    cuts = rfm.fit_cuts(features, weight="Frequency")
+    known = rows.filter(F.col(cols.client).isNotNull())
+    return score(known.join(features.na.drop(subset=list(FEATURES)), cols.client), cuts)
+
+
+def line_features(
+    lines: DataFrame,
+    tickets: DataFrame,
+    line_cols: LineColumns = LineColumns(),
+    ticket_cols: TicketColumns = TicketColumns(),
+) -> DataFrame:
+    """Features of the lines joined with their tickets, without joining line by line.
+
+    Lines are combined per ticket first: how many, and their latest date. A line
+    counts as a visit and spends its ticket's total. Lines without a known client
+    still count for the cut-off.
+    """
+    per_ticket = lines.groupBy(F.col(line_cols.ticket).alias("_ticket")).agg(
+        F.count("*").alias("_lines"), F.max(line_cols.date).alias("_latest")
+    )
+    owners = tickets.filter(F.col(ticket_cols.client).isNotNull())
+    spent = F.col(ticket_cols.total).cast(MONEY) * F.col("_lines").cast("decimal(18,0)")
+    visits = (
+        per_ticket.join(owners, F.col("_ticket") == F.col(ticket_cols.ticket), "left")
+        .groupBy(ticket_cols.client)
+        .agg(
+            F.sum("_lines").alias("NumVisits"),
+            F.coalesce(F.sum(spent).cast("double"), F.lit(0.0)).alias("TotalSpend"),
+            F.max("_latest").alias("LastVisit"),
+        )
+    )
+    staged = stage(visits, "line_visits")
+    return as_rfm(with_recency(staged, latest_visit(staged), ticket_cols.client))
+
+
+def rfm_by_line(
+    lines: DataFrame,
+    tickets: DataFrame,
+    line_cols: LineColumns = LineColumns(),
+    ticket_cols: TicketColumns = TicketColumns(),
+) -> DataFrame:
+    """``rfm_by_row`` for lines joined with their tickets.
+
+    The features go to the tickets first, so the lines are joined once.
+    """
+    features = line_features(lines, tickets, line_cols, ticket_cols)
+    cuts = rfm.fit_cuts(features, weight="Frequency")
     complete = features.na.drop(subset=list(FEATURES))
-    return score(complete, rfm.fit_cuts(features, weight="Frequency"))
-
-
-def rfm_by_row(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
-    """Row-weighted scores on every row that has a client with complete features."""
-    return rows.filter(F.col(cols.client).isNotNull()).join(rfm_row_scores(rows, cols), cols.client)
+    return score(joins.lines_of_clients(lines, tickets, complete, line_cols, ticket_cols), cuts)
 
 
 @dataclass(frozen=True)

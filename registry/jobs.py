@@ -276,12 +276,11 @@ def _scored(v: Views) -> DataFrame:
 NOTEBOOK_COLUMNS = RfmColumns(client="ClientID", date="Bill_Date", spend="ticket_total")
 
 
-def _notebook_rows(v: Views) -> DataFrame:
-    """Lines with their tickets: the row-grain input of the RFM job."""
+def _notebook_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Dated lines and known tickets: the row-grain input of the RFM job."""
     tickets = cleaning.with_integer_ids(v.tickets_raw().na.drop(subset=["ClientID"]))
-    lines = cleaning.with_line_dates(cleaning.with_integer_ids(v.lines_raw()))
-    joined = joins.lines_with_tickets(lines.select("TicketID", "Descr", "Total", "Bill_Date"), tickets)
-    return joined.select("TicketID", "ClientID", "Descr", "ticket_total", F.col("Bill_Date").cast("timestamp_ntz").alias("Bill_Date"))
+    lines = _dated_lines(v).withColumn("Bill_Date", F.col("Bill_Date").cast("timestamp_ntz"))
+    return lines.select("TicketID", "Descr", "Total", "Bill_Date"), tickets
 
 
 @query
@@ -331,14 +330,15 @@ def rfm_tier_profile(v: Views) -> DataFrame:
 
 @query
 def rfm_features_row(v: Views) -> DataFrame:
-    rows = _notebook_rows(v)
+    lines, tickets = _notebook_inputs(v)
+    rows = joins.lines_with_tickets(lines, tickets)
     complete = rfm_plan.rfm_features(rows, NOTEBOOK_COLUMNS).na.drop(subset=list(scoring.FEATURES))
     return rows.select("TicketID", "ClientID", "Descr").join(complete, "ClientID")
 
 
 @query
 def rfm_row_grain(v: Views) -> DataFrame:
-    return rfm_plan.rfm_by_row(_notebook_rows(v), NOTEBOOK_COLUMNS).select(
+    return rfm_plan.rfm_by_line(*_notebook_inputs(v)).select(
         "TicketID", "ClientID", "Descr", "Recency", "Frequency", "Monetary", "RFM_Segment", "Segment", "RFM_Score", "Tier"
     )
 

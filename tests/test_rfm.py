@@ -192,3 +192,25 @@ def test_small_parameter_tables(spark, model, tmp_path):
     frame = artefacts.centroid_frame(spark, model.clustering)
     assert frame.count() == 4
     assert isinstance(frame.toPandas(), pd.DataFrame)
+
+
+def test_lines_give_the_same_as_their_joined_rows(spark, rows):
+    rng = np.random.default_rng(8)
+    tickets = spark.createDataFrame(
+        [(i, f"k{i % 23}" if i % 11 else None, None if i % 13 == 0 else float(i)) for i in range(150)] + [(7, "k1", 2.5)],
+        "TicketID bigint, ClientID string, Total double",
+    )
+    lines = spark.createDataFrame(
+        [
+            (None if i % 17 == 0 else int(rng.integers(0, 170)), "x", dt.datetime(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 300))))
+            for i in range(500)
+        ],
+        "TicketID bigint, Total string, Bill_Date timestamp_ntz",
+    )
+    from clientele.operators.joins import lines_with_tickets
+
+    joined = lines_with_tickets(lines, tickets.filter("ClientID is not null"))
+    by_row = plan.rfm_by_row(joined, RfmColumns("ClientID", "Bill_Date", "ticket_total"))
+    by_line = plan.rfm_by_line(lines, tickets)
+    cols = ("TicketID", "ClientID", "Bill_Date", *FEATURES, "RFM_Segment", "Tier")
+    assert rows(by_line, *cols) == rows(by_row, *cols)
