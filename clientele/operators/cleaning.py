@@ -25,12 +25,18 @@ def without_clients(df: DataFrame, client: str, blocked: Sequence[str] | DataFra
 
 
 def clean_tickets(
-    tickets: DataFrame, blocked: Sequence[str] | DataFrame = (), cols: TicketColumns = TicketColumns()
+    tickets: DataFrame,
+    blocked: Sequence[str] | DataFrame = (),
+    cols: TicketColumns = TicketColumns(),
+    pattern: str = "yyyy-MM-dd HH:mm:ss",
 ) -> DataFrame:
-    """Tickets of known, unblocked clients; a missing total counts as 0."""
+    """Tickets of known, unblocked clients; a missing total counts as 0.
+
+    ``pattern`` reads the date if it is still text.
+    """
     created = F.col(cols.created)
     if dict(tickets.dtypes)[cols.created] == "string":
-        created = parse_datetime(created)
+        created = parse_datetime(created, pattern)
     return (
         without_clients(tickets, cols.client, blocked)
         .na.fill(0.0, [cols.total])

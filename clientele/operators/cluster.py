@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clientele.functions.numbers import exact_mean, half_even, percent_text, ratio_text
+from clientele.functions.numbers import MONEY, half_even, percent_text, ratio_text
 from clientele.functions.rows import one_row
 from clientele.functions.scoring import FEATURES
 from clientele.functions.text import label
@@ -127,25 +127,37 @@ def assign_features(features: DataFrame, fitted: Scaler, clustering: Clustering,
     return assigned.withColumns({c: F.col(f"_{c}") for c in FEATURES}).drop(*[f"_{c}" for c in FEATURES])
 
 
+def _cluster_means(assigned: DataFrame, *group: str) -> DataFrame:
+    """Size, mean features and relative importance per cluster in one pass.
+
+    The population means come from the clusters' own sums; that window spans the k
+    rows left after the aggregation.
+    """
+    sums = [F.sum(F.col(c).cast(MONEY)).alias(f"_sum_{c}") for c in FEATURES]
+    sizes = [F.count(c).alias(f"_n_{c}") for c in FEATURES]
+    stats = assigned.groupBy(*group).agg(F.count("*").alias("Count"), *sums, *sizes)
+    clusters = Window.partitionBy()
+    columns = [F.sum("Count").over(clusters).alias("Total")]
+    for c in FEATURES:
+        mean = F.col(f"_sum_{c}").cast("double") / F.col(f"_n_{c}")
+        population = F.sum(f"_sum_{c}").over(clusters).cast("double") / F.sum(f"_n_{c}").over(clusters)
+        columns += [mean.alias(c), (mean / population - 1).alias(f"Relative {c}")]
+    return stats.select(*group, "Count", *columns)
+
+
 def relative_importance(assigned: DataFrame) -> DataFrame:
     """Cluster mean over population mean, minus 1, per feature."""
-    sums = assigned.groupBy("Cluster Segment").agg(*[exact_mean(F.col(c)).alias(c) for c in FEATURES])
-    population = assigned.agg(*[exact_mean(F.col(c)).alias(c) for c in FEATURES])
-    everyone = one_row(population)
-    return sums.select("Cluster Segment", *[(F.col(c) / everyone[c] - 1).alias(f"Relative {c}") for c in FEATURES])
+    means = _cluster_means(assigned, "Cluster Segment")
+    return means.select("Cluster Segment", *[f"Relative {c}" for c in FEATURES])
 
 
 def cluster_profile(assigned: DataFrame) -> DataFrame:
     """Size, share, mean features and relative importance of every cluster."""
-    stats = assigned.groupBy("Cluster", "Cluster Segment").agg(
-        F.count("*").alias("Count"), *[exact_mean(F.col(c)).alias(c) for c in FEATURES]
-    )
-    total = one_row(stats.agg(F.sum("Count").alias("total")))["total"]
-    return stats.join(relative_importance(assigned), "Cluster Segment").select(
+    return _cluster_means(assigned, "Cluster", "Cluster Segment").select(
         "Cluster",
         "Cluster Segment",
         "Count",
-        percent_text(F.col("Count") / total * 100).alias("Percent"),
+        percent_text(F.col("Count") / F.col("Total") * 100).alias("Percent"),
         half_even(F.col("Recency")).alias("Avg_Days_Since_Last_Visit"),
         half_even(F.col("Frequency")).alias("Avg_Num_Visits"),
         half_even(F.col("Monetary")).alias("Avg_Bill_Value"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientele.columns import ClientColumns, LineColumns, RfmColumns, TicketColumns
 from clientele.operators import cleaning
@@ -62,12 +62,13 @@ def client_sales(
     """Visit features, service averages and client attributes, one row per client.
 
     A client id that occurs twice in ``clients`` gives two rows, unless
-    ``unique_clients`` keeps one of them.
+    ``unique_clients`` keeps one of them (the greatest, so that a known sex wins).
     """
     rfm_cols = RfmColumns(ticket_cols.client, ticket_cols.created, ticket_cols.total)
     attributes = clients.select(client_cols.client, client_cols.sex, client_cols.phone)
     if unique_clients:
-        attributes = attributes.dropDuplicates([client_cols.client])
+        kept = F.max(F.struct(client_cols.sex, client_cols.phone)).alias("kept")
+        attributes = attributes.groupBy(client_cols.client).agg(kept).select(client_cols.client, "kept.*")
     sales = (
         client_features(tickets, rfm_cols)
         .join(client_service_avgs(lines, tickets, line_cols, ticket_cols), ticket_cols.client, "left")
