@@ -22,6 +22,8 @@ def test_only_fitted_clusters_go_without_sql():
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_as_sql(spark, con, name):
     result = queries()[name](spark, FOLDER)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert not [bad for bad in ("CartesianProduct", "NestedLoopJoin", "EvalPython") if bad in plan]
     want = con.execute(oracle_sql()[name]).df()
     types = {r[0]: kind(r[1]) for r in con.execute(f"DESCRIBE {oracle_sql()[name]}").fetchall()}
     assert {c: kind(t) for c, t in result.dtypes} == types
