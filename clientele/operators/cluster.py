@@ -69,8 +69,17 @@ def standardise(rooted: DataFrame, fitted: Scaler) -> DataFrame:
     return rooted.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in fitted.items()})
 
 
-def fit(standardised: DataFrame, k: int = 4, seed: int = 42, weight: str | None = None) -> Clustering:
-    """k-means over the standardised features; the input should be staged."""
+def fit(
+    standardised: DataFrame,
+    k: int = 4,
+    seed: int = 42,
+    weight: str | None = None,
+    names: Mapping[int, str] | None = None,
+) -> Clustering:
+    """k-means over the standardised features; the input should be staged.
+
+    Clusters are named by their centroids, or by id with given ``names`` (FIXED_NAMES).
+    """
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="skip")
     kmeans = KMeans(k=k, seed=seed, maxIter=100, featuresCol="features")
     if weight:
@@ -78,7 +87,7 @@ def fit(standardised: DataFrame, k: int = 4, seed: int = 42, weight: str | None
     columns = [*FEATURES, *([weight] if weight else [])]
     model = kmeans.fit(vectors.transform(standardised.select(*columns)))
     centroids = [[float(x) for x in centre] for centre in model.clusterCenters()]
-    return Clustering(centroids, name_clusters(centroids))
+    return Clustering(centroids, dict(names) if names else name_clusters(centroids))
 
 
 def name_clusters(centroids: Sequence[Sequence[float]]) -> dict[int, str]:

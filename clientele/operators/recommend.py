@@ -60,6 +60,12 @@ def candidates(vectors: DataFrame, profiles: DataFrame, threshold: float) -> Dat
     )
 
 
+def rank_services(scores: DataFrame, n: int = TOP_SERVICES) -> DataFrame:
+    """Best ``n`` services per client from finished scores: score first, then name."""
+    order = Window.partitionBy("client").orderBy(F.desc("score"), "service")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
 def top_services(vectors: DataFrame, profiles: DataFrame, threshold: float, n: int = TOP_SERVICES) -> DataFrame:
     """Each client's best ``n`` new services, every service once.
 

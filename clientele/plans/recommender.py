@@ -92,7 +92,8 @@ class Recommender:
         A service's score is its best similarity, so the recommendations at any
         higher threshold are the stored scores above it: one run serves all.
         """
-        save_tables({"vectors": self.vectors, "candidates": self.candidates(floor)}, path)
+        settings = self.vectors.sparkSession.createDataFrame([(floor,)], "floor double")
+        save_tables({"vectors": self.vectors, "candidates": self.candidates(floor), "settings": settings}, path)
 
     def save_similarity(self, path: str, floor: float = THRESHOLDS[0]) -> None:
         """Store the similar pairs and which clients each profile stands for."""
@@ -109,5 +110,15 @@ def fit(freq: DataFrame, sample_n: int | None = None) -> Recommender:
 
 def saved_scores(spark: SparkSession, path: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Recommendations from a saved recommender at a threshold not below its floor."""
-    stored = load_tables(spark, ["candidates"], path)["candidates"]
-    return stored.filter(F.col("score") > threshold).select("client", "service", "score")
+    stored = load_tables(spark, ["candidates", "settings"], path)
+    floor = stored["settings"].first()["floor"]
+    if threshold < floor:
+        raise ValueError(f"saved for thresholds from {floor}")
+    return stored["candidates"].filter(F.col("score") > threshold).select("client", "service", "score")
+
+
+def saved_top(
+    spark: SparkSession, path: str, threshold: float = DEFAULT_THRESHOLD, n: int = recommend.TOP_SERVICES
+) -> DataFrame:
+    """The best ``n`` stored services of each client."""
+    return recommend.rank_services(saved_scores(spark, path, threshold), n)

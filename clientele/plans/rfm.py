@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -121,13 +122,19 @@ def load_model(spark: SparkSession, path: str) -> RfmModel:
     return RfmModel(*load_rfm_model(spark, path))
 
 
-def fit_model(features: DataFrame, k: int = 4, seed: int = 42, weight: str | None = None) -> RfmModel:
+def fit_model(
+    features: DataFrame,
+    k: int = 4,
+    seed: int = 42,
+    weight: str | None = None,
+    names: Mapping[int, str] | None = None,
+) -> RfmModel:
     """Cuts, scaler and clusters. ``weight`` = 'Frequency' fits at row grain."""
     weighted = features.withColumn("_weight", F.col(weight)) if weight else features
     rooted = cluster.with_cube_roots(weighted.na.drop(subset=list(FEATURES)))
     fitted = cluster.fit_scaler(rooted, "_weight" if weight else None)
     ready = stage(cluster.standardise(rooted, fitted), "standardised")
-    clustering = cluster.fit(ready, k, seed, "_weight" if weight else None)
+    clustering = cluster.fit(ready, k, seed, "_weight" if weight else None, names)
     return RfmModel(rfm.fit_cuts(features, weight), fitted, clustering)
 
 

@@ -135,6 +135,10 @@ def test_names_follow_the_centroids():
     assert names == {0: "At Risk Customers", 1: "New Customers", 2: "Churned Customers", 3: "Loyal Customers"}
 
 
+def test_given_names_go_by_id(features):
+    assert plan.fit_model(features, names=cluster.FIXED_NAMES).clustering.names == cluster.FIXED_NAMES
+
+
 def test_nearest_centroid_ties_take_the_lowest_id(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "Recency double, Frequency double, Monetary double")
     given = cluster.Clustering([[1.0, 0, 0], [-1.0, 0, 0]], {0: "a", 1: "b"})

@@ -208,6 +208,10 @@ def test_saved_recommender_serves_higher_thresholds(spark, tmp_path):
         stored = {tuple(r) for r in recommender.saved_scores(spark, str(tmp_path), threshold).collect()}
         fresh = {(r["client"], r["service"], r["score"]) for r in fitted.candidates(threshold).collect()}
         assert stored == fresh
+    stored = {tuple(r) for r in recommender.saved_top(spark, str(tmp_path), 0.75).collect()}
+    assert stored == {tuple(r) for r in fitted.top(0.75).collect()}
+    with pytest.raises(ValueError):
+        recommender.saved_scores(spark, str(tmp_path), 0.1)
     assert spark.read.parquet(str(tmp_path / "profile_similarity")).count() == fitted.similar_pairs(0.25).count()
 
 
