@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import line_dedup, sharding
+from clientele.llm import bpe, line_dedup, sharding
 from clientele.llm.inputs import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,8 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"), counts=("n_lines", "n_removed"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(whole(F.col("text")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
