@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, line_dedup, sharding
+from clientele.llm import bpe, decontaminate, line_dedup, sharding
 from clientele.llm.inputs import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    items = F.concat_ws(",", F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), items.alias("item_ids"), F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, folder, "documents"), 40)

@@ -28,3 +28,40 @@ SELECT s.doc_id, CASE WHEN s.missing THEN 0 ELSE len(s.lines) END AS n_lines,
        len(s.lines) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS text_sha256
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
+
+# Every window that starts where a shared shingle puts an item's start, compared in full.
+ORACLE["op3_decontamination"] = r"""
+WITH item_words AS (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), doc_words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), item_at AS (
+    SELECT item_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM item_words WHERE len(w) > 0
+), doc_at AS (
+    SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM doc_words WHERE len(w) > 0
+), item_shingles AS (SELECT item_id, w, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM item_at
+), doc_shingles AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM doc_at
+), weights AS (
+    SELECT s, least(16, 1 + floor(log2((SELECT count(DISTINCT w) FROM item_words WHERE len(w) > 0) / count(DISTINCT w)) + 1e-9)) AS weight
+    FROM item_shingles GROUP BY s
+), most AS (SELECT least(16, 1 + floor(log2(greatest(count(DISTINCT w), 1)) + 1e-9)) AS weight FROM item_words WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT d.doc_id, i.item_id, d.p - i.p AS start, greatest(len(i.w) - 4, 1) AS size
+    FROM doc_shingles d JOIN item_shingles i USING (s)
+), of_window AS (
+    SELECT v.doc_id, v.item_id, v.start, d.s, count(*) * any_value(coalesce(x.weight, m.weight)) AS weight
+    FROM windows v JOIN doc_shingles d ON d.doc_id = v.doc_id AND d.p >= v.start AND d.p < v.start + v.size
+    CROSS JOIN most m LEFT JOIN weights x ON x.s = d.s GROUP BY ALL
+), of_item AS (
+    SELECT i.item_id, i.s, count(*) * any_value(x.weight) AS weight FROM item_shingles i JOIN weights x USING (s) GROUP BY ALL
+), whole_items AS (SELECT item_id, sum(weight) AS weight FROM of_item GROUP BY ALL
+), scored AS (
+    SELECT o.doc_id, o.item_id, o.start, sum(least(o.weight, coalesce(i.weight, 0))) AS shared, sum(o.weight) AS own
+    FROM of_window o LEFT JOIN of_item i ON i.item_id = o.item_id AND i.s = o.s GROUP BY ALL
+), similar AS (
+    SELECT doc_id, item_id, max(shared / (own + t.weight - shared)) AS similarity
+    FROM scored JOIN whole_items t USING (item_id) GROUP BY ALL HAVING similarity >= 0.8 - 1e-12
+)
+SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, round(max(similarity), 6) AS similarity
+FROM similar GROUP BY doc_id
+"""
