@@ -58,10 +58,10 @@ WITH item_words AS (
 ), scored AS (
     SELECT o.doc_id, o.item_id, o.start, sum(least(o.weight, coalesce(i.weight, 0))) AS shared, sum(o.weight) AS own
     FROM of_window o LEFT JOIN of_item i ON i.item_id = o.item_id AND i.s = o.s GROUP BY ALL
-), similar AS (
+), alike AS (
     SELECT doc_id, item_id, max(shared / (own + t.weight - shared)) AS similarity
     FROM scored JOIN whole_items t USING (item_id) GROUP BY ALL HAVING similarity >= 0.8 - 1e-12
 )
 SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, round(max(similarity), 6) AS similarity
-FROM similar GROUP BY doc_id
+FROM alike GROUP BY doc_id
 """
