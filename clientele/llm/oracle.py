@@ -65,3 +65,30 @@ WITH item_words AS (
 SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, round(max(similarity), 6) AS similarity
 FROM alike GROUP BY doc_id
 """
+
+# All pairs that share a shingle, compared in full; labels spread until nothing changes.
+ORACLE["op7_minhash"] = r"""
+WITH RECURSIVE doc_words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 3, 1)), lambda p: array_to_string(w[p + 1 : p + 4], ' ')))) AS s
+    FROM doc_words WHERE len(w) > 0
+), classes AS (SELECT min(doc_id) AS node, s FROM sets GROUP BY s
+), members AS (SELECT x.doc_id, c.node FROM sets x JOIN classes c USING (s)
+), spread AS (SELECT node, len(s) AS n, unnest(s) AS x FROM classes
+), shared AS (
+    SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
+    FROM spread a JOIN spread b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node
+), links AS (SELECT a, b FROM shared WHERE 100 * n >= 80 * (na + nb - n)
+), two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT node, node AS other FROM classes
+    UNION
+    SELECT r.node, b.b FROM reached r JOIN two_way b ON b.a = r.other
+), labels AS (SELECT node, min(other) AS component FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(len(s.s), 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(l.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id
+LEFT JOIN members m ON m.doc_id = d.doc_id LEFT JOIN labels l ON l.node = m.node
+"""
