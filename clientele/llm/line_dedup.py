@@ -44,7 +44,9 @@ def _windows(docs: DataFrame) -> DataFrame:
         )
 
     found = F.transform(F.sequence(F.lit(0), F.size("e") - WINDOW), window)
-    return full.filter(F.size("e") >= WINDOW).select("doc_id", "text_hash", F.explode(found).alias("w")).select("doc_id", "text_hash", "w.*")
+    # the outer form and a filter behind it: in front of an inner explode Spark would split every text again
+    exploded = full.select("doc_id", "text_hash", F.explode_outer(F.when(F.size("e") >= WINDOW, found)).alias("w"))
+    return exploded.filter("w IS NOT NULL").select("doc_id", "text_hash", "w.*")
 
 
 def covered_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
