@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, decontaminate, line_dedup, minhash, pii, quality, sharding
+from clientele.llm import bpe, decontaminate, html_text, line_dedup, minhash, pii, quality, sharding
 from clientele.llm.inputs import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(table(spark, folder, "documents"))
 
 
+@query
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
