@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding
+from clientele.llm import bpe, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding, training_order
 from clientele.llm.inputs import table, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
 
 
+@query
+def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = training_order.in_order(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return ordered.select("doc_id", "part", "n_tokens", "slot", "shard", (F.col("place") * training_order.stride(training_order.LENGTH)).alias("byte_offset"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
