@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StructField, StructType
 
 from clientele.llm.bpe import Recent
 from clientele.llm.inputs import pieces, texts, unused
@@ -44,6 +44,8 @@ BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
 #: A to Z in lower case, all other bytes as they are.
 LOWER = bytes(range(256)).lower()
+#: Ids or pairs of ids are sent to every executor up to this many rows (about 64 MB); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Centres compared in the first and the second round.
 FIRST, SECOND = 1, 5
 
@@ -144,11 +146,20 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def star_candidates(classes: DataFrame) -> DataFrame:
-    """``node, n, centres``: each class with the centres of its buckets, the smallest first (at most two per band)."""
-    members = stage(classes.select("node", "n", F.posexplode("bands").alias("band", "bucket")), "band_members")
-    drawn = F.min_by("node", F.xxhash64("band", "node"))
-    buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), drawn.alias("drawn"))
-    stars = members.join(buckets.filter("members > 1").drop("members"), ["band", "bucket"])
+    """``node, n, centres``: each class with the centres of its buckets, the smallest first (at most two per band).
+
+    A bucket's key holds its band. The random member is the smallest id after a scrambling that the
+    key decides, which for integer ids a plain minimum finds, so only numbers are shuffled.
+    """
+    keys = F.transform("bands", lambda x, band: F.xxhash64(band, x))
+    members = classes.select("node", "n", F.explode_outer(keys).alias("bucket"))
+    if isinstance(classes.schema["node"].dataType, IntegralType):
+        low, drawn = F.min(F.col("node").bitwiseXOR(F.xxhash64("bucket"))), F.col("low").bitwiseXOR(F.xxhash64("bucket"))
+    else:
+        low, drawn = F.min_by("node", F.xxhash64("bucket", "node")), F.col("low")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), low.alias("low"))
+    centres = buckets.filter("members > 1").select("bucket", "least", drawn.alias("drawn"))
+    stars = members.join(centres, "bucket")
     edges = stars.select("node", "n", F.explode(F.array("least", "drawn")).alias("centre")).filter("node <> centre")
     return edges.groupBy("node", "n").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
 
@@ -172,11 +183,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (ids only, staged) with a hint to send it to all executors, if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    """The pairs ``a, b`` whose full sets are similar enough.
+
+    Both sets go to the pair, so no task gathers the partners of a class that has many.
+    """
+    pairs = bounded(stage(pairs, "pairs"))
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    both = left.join(right, ["a", "b"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
 
@@ -187,9 +207,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     signed = stage(signatures(docs, words), "signatures")
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stage(linkable.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    candidates = stage(star_candidates(classes.select("node", "n", "bands")), "stars")
-    wanted = candidates.select(F.explode(F.array_append("centres", F.col("node"))).alias("doc_id")).distinct()
-    sets = stage(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
+    candidates = stage(star_candidates(classes), "stars")
+    wanted = stage(candidates.select(F.explode(F.array_append("centres", F.col("node"))).alias("doc_id")).distinct(), "wanted")
+    sets = stage(full_sets(docs.join(bounded(wanted), "doc_id", "left_semi"), words), "sets")
 
     pairs = candidates.select(F.col("node").alias("a"), F.posexplode("centres").alias("rank", "b"))
     labels = components(confirmed(pairs.filter(F.col("rank") < FIRST).select("a", "b"), sets, percent))
