@@ -30,6 +30,7 @@ class LineColumns:
     total: str = "Total"
     created: str = "Created_Date2"
     date: str = "Bill_Date"
+    stamp: str = "Bill_Stamp"
     group: str = "Group1"
     service_kind: str = "S"
     product_kind: str = "P"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MONEY = "decimal(18,2)"
+#: Amounts and quantities are summed exactly to this scale, so sums do not depend on the order of the rows.
+AMOUNT = "decimal(22,6)"
 
 
 def safe_bigint(c: Column) -> Column:
@@ -17,17 +18,17 @@ def safe_bigint(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), whole)
 
 
-def money_sum(c: Column) -> Column:
-    """Sum of amounts that does not depend on the order of the rows."""
-    return F.sum(c.cast(MONEY)).cast("double")
+def exact_sum(c: Column, kind: str = AMOUNT) -> Column:
+    """Sum of amounts or quantities that does not depend on the order of the rows; ``kind`` sets the scale."""
+    return F.sum(c.cast(kind)).cast("double")
 
 
 def exact_mean(c: Column, weight: Column | None = None) -> Column:
     """Mean of whole numbers or amounts, summed as decimals."""
     if weight is None:
-        return F.sum(c.cast(MONEY)).cast("double") / F.count(c)
-    weight = weight.cast("decimal(18,0)")
-    return F.sum(c.cast(MONEY) * weight).cast("double") / F.sum(F.when(c.isNotNull(), weight)).cast("double")
+        return F.sum(c.cast(AMOUNT)).cast("double") / F.count(c)
+    weight = weight.cast("decimal(15,0)")
+    return F.sum(c.cast(AMOUNT) * weight).cast("double") / F.sum(F.when(c.isNotNull(), weight)).cast("double")
 
 
 def half_even(c: Column, decimals: int = 1) -> Column:
@@ -52,3 +53,8 @@ def money_text(c: Column) -> Column:
 
 def count_text(c: Column) -> Column:
     return F.format_number(c, 0)
+
+
+def plain_text(c: Column) -> Column:
+    """A number as text without trailing zeros, whole ones without a decimal point."""
+    return F.regexp_replace(c.cast(AMOUNT).cast("string"), r"\.?0+$", "")

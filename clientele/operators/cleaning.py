@@ -58,20 +58,28 @@ def with_integer_ids(df: DataFrame, ticket: str = "TicketID") -> DataFrame:
 
 
 def with_line_dates(lines: DataFrame, cols: LineColumns = LineColumns(), pattern: str = "dd-MM-yyyy HH:mm") -> DataFrame:
-    """Bill date and time of day from the text column, which is dropped."""
+    """Bill date, full stamp and time of day from the text column, which is dropped."""
     stamp = parse_datetime(F.col(cols.created), pattern)
     return (
-        lines.withColumn("_stamp", stamp)
-        .withColumn(cols.date, F.to_date("_stamp"))
-        .withColumn("Bill_Time", time_of_day(F.col("_stamp")))
-        .drop("_stamp", cols.created)
+        lines.withColumn(cols.stamp, stamp)
+        .withColumn(cols.date, F.to_date(cols.stamp))
+        .withColumn("Bill_Time", time_of_day(F.col(cols.stamp)))
+        .drop(cols.created)
     )
 
 
 def clean_clients(
-    clients: DataFrame, blocked: Sequence[str] | DataFrame = (), cols: ClientColumns = ClientColumns()
+    clients: DataFrame,
+    blocked: Sequence[str] | DataFrame = (),
+    cols: ClientColumns = ClientColumns(),
+    patterns: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd"),
 ) -> DataFrame:
-    return without_clients(clients, cols.client, blocked)
+    """Known, unblocked clients. A creation date that is still text is read by the first
+    of ``patterns`` that fits; text that fits none becomes null."""
+    known = without_clients(clients, cols.client, blocked)
+    if dict(clients.dtypes).get(cols.created) != "string":
+        return known
+    return known.withColumn(cols.created, F.coalesce(*[parse_datetime(F.col(cols.created), p) for p in patterns]))
 
 
 def with_clean_sex(df: DataFrame, sex: str = "Sex") -> DataFrame:

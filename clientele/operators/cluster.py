@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clientele.functions.numbers import MONEY, half_even, percent_text, ratio_text
+from clientele.functions.numbers import AMOUNT, half_even, percent_text, ratio_text
 from clientele.functions.rows import one_row
 from clientele.functions.scoring import FEATURES
 from clientele.functions.text import label
@@ -142,7 +142,7 @@ def _cluster_means(assigned: DataFrame, *group: str) -> DataFrame:
     The population means come from the clusters' own sums; that window spans the k
     rows left after the aggregation.
     """
-    sums = [F.sum(F.col(c).cast(MONEY)).alias(f"_sum_{c}") for c in FEATURES]
+    sums = [F.sum(F.col(c).cast(AMOUNT)).alias(f"_sum_{c}") for c in FEATURES]
     sizes = [F.count(c).alias(f"_n_{c}") for c in FEATURES]
     stats = assigned.groupBy(*group).agg(F.count("*").alias("Count"), *sums, *sizes)
     clusters = Window.partitionBy()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import ClientColumns, LineColumns, TicketColumns
 from clientele.functions.dates import in_year, long_date, month_name
-from clientele.functions.numbers import exact_mean, money_sum, money_text
+from clientele.functions.numbers import exact_mean, exact_sum, money_text, plain_text
 from clientele.functions.rows import one_row
 from clientele.functions.text import bracket_list, label, quoted_list
 
@@ -33,7 +33,7 @@ def kpi_totals(
 ) -> DataFrame:
     """All-time sales, services, products and clients, one row."""
     from_tickets = tickets.agg(
-        money_sum(F.col(ticket_cols.total)).alias("total_sales"),
+        exact_sum(F.col(ticket_cols.total)).alias("total_sales"),
         F.count_distinct(ticket_cols.client).alias("total_customers"),
     )
     from_lines = lines.agg(
@@ -50,14 +50,14 @@ def daily_revenue(tickets: DataFrame, year: int, total: str = "Total", date: str
     return (
         tickets.filter(in_year(F.col(date), year))
         .groupBy(F.to_date(date).alias("Bill_Date"))
-        .agg(money_sum(F.col(total)).alias("Total"))
+        .agg(exact_sum(F.col(total)).alias("Total"))
     )
 
 
 def monthly_revenue(daily: DataFrame) -> DataFrame:
     """Revenue per month name from the daily rows, with the month number to sort by."""
     return daily.groupBy(F.month("Bill_Date").alias("month_num"), month_name(F.col("Bill_Date")).alias("Bill_Month")).agg(
-        money_sum(F.col("Total")).alias("Total")
+        exact_sum(F.col("Total")).alias("Total")
     )
 
 
@@ -84,11 +84,11 @@ def revenue_summary(tickets: DataFrame, year: int, total: str = "Total", date: s
     months = (
         daily_revenue(tickets, year, total, date)
         .groupBy(month_name(F.col("Bill_Date")).alias("Bill_Month"))
-        .agg(money_sum(F.col("Total")).alias("Total"), F.min(best("Total", "Bill_Date")).alias("d"))
+        .agg(exact_sum(F.col("Total")).alias("Total"), F.min(best("Total", "Bill_Date")).alias("d"))
     )
     return (
         months.groupBy()
-        .agg(money_sum(F.col("Total")).alias("total_revenue"), F.min("d").alias("d"), F.min(best("Total", "Bill_Month")).alias("m"))
+        .agg(exact_sum(F.col("Total")).alias("total_revenue"), F.min("d").alias("d"), F.min(best("Total", "Bill_Month")).alias("m"))
         .select(
             F.lit(year).alias("year"),
             "total_revenue",
@@ -122,7 +122,7 @@ def service_counts(lines: DataFrame, year: int, cols: LineColumns = LineColumns(
         _lines_of(lines, cols.service_kind, year, cols)
         .filter(F.col(cols.item).isNotNull())
         .groupBy(F.col(cols.item).alias("Descr"))
-        .agg(F.count("*").alias("frequency"), money_sum(F.col(cols.total)).alias("total_sum"))
+        .agg(F.count("*").alias("frequency"), exact_sum(F.col(cols.total)).alias("total_sum"))
     )
 
 
@@ -132,7 +132,7 @@ def product_counts(lines: DataFrame, year: int, cols: LineColumns = LineColumns(
         _lines_of(lines, cols.product_kind, year, cols)
         .filter(F.col(cols.item).isNotNull())
         .groupBy(F.col(cols.item).alias("Descr"))
-        .agg(money_sum(F.col(cols.quantity)).alias("frequency"), money_sum(F.col(cols.total)).alias("total_sum"))
+        .agg(exact_sum(F.col(cols.quantity)).alias("frequency"), exact_sum(F.col(cols.total)).alias("total_sum"))
     )
 
 
@@ -150,7 +150,7 @@ def top_items_text(top: DataFrame, sentence: str) -> DataFrame:
         top.agg(rows.alias("rows"))
         .select(
             quoted_list(F.col("rows.name")).alias("names"),
-            bracket_list(F.transform("rows", lambda r: (-r["neg"]).cast("bigint"))).alias("frequencies"),
+            bracket_list(F.transform("rows", lambda r: plain_text(-r["neg"]))).alias("frequencies"),
             F.array_join(F.transform("rows", lambda r: money_text(r["total_sum"])), ", ").alias("revenues"),
         )
         .withColumn("sentence", F.format_string(sentence, "names", "frequencies", "revenues"))

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import BookingColumns, LineColumns, TicketColumns
+from clientele.functions.dates import parse_datetime
+from clientele.operators.cleaning import with_integer_ids
+
+#: Patterns of booking dates that are still text, in the order they are tried.
+DATES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
 def lines_with_tickets(
@@ -68,9 +73,13 @@ def booking_service_chain(
 
     Bookings and services may be missing; the category must exist for the salon of
     the line, so lines without one drop out. The ``id``/``type_id`` columns of the
-    inputs are bound here.
+    inputs are bound here, booking ids become whole numbers and booking dates timestamps.
     """
     bookings = bookings.withColumnsRenamed({"id": cols.booking})
+    bookings = with_integer_ids(bookings, cols.booking)
+    if dict(bookings.dtypes).get(cols.date) == "string":
+        bookings = bookings.withColumn(cols.date, F.coalesce(*[parse_datetime(F.col(cols.date), p) for p in DATES]))
+    booking_services = with_integer_ids(booking_services, cols.booking)
     services = services.withColumnsRenamed({"id": cols.service, "type_id": cols.category})
     categories = categories.withColumnsRenamed({"id": cols.category})
     return (

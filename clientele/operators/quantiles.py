@@ -4,101 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1_000
+from clientele.session import stage
 
+ROWS_PER_PART = 200_000
 
-def _with_buckets(df: DataFrame, cols: Sequence[str], buckets: int) -> DataFrame:
-    """Give every column a bucket column; bucket order is value order.
-
-    Split points come from Spark's quantile sketch. They only balance the buckets:
-    ranks are counted exactly afterwards, whatever the split points are.
-    """
-    if buckets <= 1:
-        return df.withColumns({f"{c}_bucket": F.lit(0.0) for c in cols})
-    probes = [i / buckets for i in range(1, buckets)]
-    splits = df.approxQuantile(list(cols), probes, 1 / (4 * buckets))
-    for c, points in zip(cols, splits):
-        inner = sorted(set(points))
-        if not inner:
-            df = df.withColumn(f"{c}_bucket", F.lit(0.0))
-            continue
-        edges = [float("-inf"), *inner, float("inf")]
-        df = Bucketizer(splits=edges, inputCol=c, outputCol=f"{c}_bucket", handleInvalid="keep").transform(df)
-    return df
-
-
-def _interpolate(low: Column, high: Column, t: Column) -> Column:
-    """Linear interpolation that is exact at both ends."""
-    return F.when(t >= 0.5, high - (high - low) * (1 - t)).otherwise(low + (high - low) * t)
 
-
-def _in_one_task(df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    frequency = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    return df.agg(*[F.percentile(F.col(c).cast("double"), wanted, frequency).alias(c) for c in cols])
+def _interpolate(low: Column, high: Column, position: Column) -> Column:
+    """Linear interpolation between two neighbouring ranks, in the order of Spark's ``percentile``."""
+    below = F.floor(position)
+    mixed = (below + 1 - position) * low + (position - below) * high
+    return F.when((position == below) | (low == high), low).otherwise(mixed)
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None, buckets: int | None = None
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None, parts: int | None = None
 ) -> DataFrame:
-    """One row with an array of quantiles per column, nulls ignored.
+    """One row with an array of quantiles per column, nulls ignored; to the last bit those of ``percentile``.
 
-    ``weight`` repeats a row that many times without writing it out. A counted
-    ROWS_PER_BUCKET rows or fewer go through Spark's exact ``percentile``, which holds
-    the distinct values in one task. Beyond that the rank of each quantile is located
-    in two steps: weighted counts per value bucket (at most MAX_BUCKETS rows per
-    column), then the distinct values of only the buckets that hold a wanted rank.
-    Equal values are combined before they are shuffled, so heavy ties cost nothing.
-    ``df`` is read several times and should be staged.
+    ``weight`` repeats a row that many times without writing it out. One way for every
+    size: equal values are counted (combined before the shuffle, so heavy ties cost
+    nothing) and laid out in ranges of values, ``ROWS_PER_PART`` of them or fewer on
+    average; the size of each part says which parts hold a wanted rank, and only in
+    those the values are numbered. Parts grow in number with the data, not in size.
     """
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
-        if buckets <= 1:
-            return _in_one_task(df, cols, probs, weight)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols], w.alias("_w"))
-    bucketed = _with_buckets(doubles, cols, buckets)
-    triples = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"{c}_bucket").alias("bucket"), F.col(c).alias("value")) for c in cols
-    ]
-    values = bucketed.select(F.inline(F.array(*triples)), "_w").filter(F.col("value").isNotNull())
+    if parts is None:
+        parts = max(1, -(-df.count() * len(cols) // ROWS_PER_PART))
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]
+    values = df.select(F.inline(F.array(*pairs)), w.alias("_w")).filter(F.col("value").isNotNull())
+    counts = values.groupBy("feature", "value").agg(F.sum("_w").alias("size"))
+    placed = counts.repartitionByRange(parts, "feature", "value").withColumn("part", F.spark_partition_id())
+    counts = stage(placed, "value_counts")
 
     by_feature = Window.partitionBy("feature")
-    sizes = values.groupBy("feature", "bucket").agg(F.sum("_w").alias("size"))
+    sizes = counts.groupBy("feature", "part").agg(F.sum("size").alias("size"))
     sizes = sizes.withColumn("n", F.sum("size").over(by_feature)).withColumn(
-        "before", F.sum("size").over(by_feature.orderBy("bucket")) - F.col("size")
+        "before", F.sum("size").over(by_feature.orderBy("part")) - F.col("size")
     )
-    position = F.col("prob") * (F.col("n") - 1)
-    low_rank = F.floor(position)
     wanted = (
         sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("t", position - low_rank)
+        .withColumn("position", F.col("prob") * (F.col("n") - 1))
         .withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("rank", F.least(low_rank + F.col("end"), F.col("n") - 1) - F.col("before"))
+        .withColumn("rank", F.least(F.floor("position") + F.col("end"), F.col("n") - 1) - F.col("before"))
         .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("size")))
-        .select("feature", "bucket", "prob", "t", "end", "rank")
-    )
-    buckets_wanted = F.broadcast(wanted.select("feature", "bucket").distinct())
-    counts = (
-        values.join(buckets_wanted, ["feature", "bucket"], "left_semi")
-        .groupBy("feature", "bucket", "value")
-        .agg(F.sum("_w").alias("size"))
-    )
-    running = F.sum("size").over(Window.partitionBy("feature", "bucket").orderBy("value"))
-    counts = counts.withColumn("upto", running).withColumn("from", F.col("upto") - F.col("size"))
-    ends = counts.join(F.broadcast(wanted), ["feature", "bucket"]).filter(
-        (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto"))
+        .select("feature", "part", "prob", "position", "end", "rank")
     )
+    # two rows per quantile, so both broadcasts have a fixed size
+    parts_wanted = F.broadcast(wanted.select("feature", "part").distinct())
+    running = F.sum("size").over(Window.partitionBy("feature", "part").orderBy("value"))
+    numbered = counts.join(parts_wanted, ["feature", "part"], "left_semi").withColumn("upto", running)
+    ends = numbered.withColumn("from", F.col("upto") - F.col("size")).drop("size").join(F.broadcast(wanted), ["feature", "part"])
+    ends = ends.filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
     per_prob = ends.groupBy("feature", "prob").agg(
-        F.first("t").alias("t"),
+        F.first("position").alias("position"),
         F.max(F.when(F.col("end") == 0, F.col("value"))).alias("low"),
         F.max(F.when(F.col("end") == 1, F.col("value"))).alias("high"),
     )
-    quantile = F.struct("prob", _interpolate(F.col("low"), F.col("high"), F.col("t")).alias("q"))
+    quantile = F.struct("prob", _interpolate(F.col("low"), F.col("high"), F.col("position")).alias("q"))
     arrays = [
         F.transform(F.array_sort(F.collect_list(F.when(F.col("feature") == c, quantile))), lambda s: s["q"]).alias(c)
         for c in cols

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import RfmColumns
 from clientele.functions.dates import elapsed_days
-from clientele.functions.numbers import money_sum
+from clientele.functions.numbers import exact_sum
 from clientele.functions.rows import one_row
 from clientele.functions.scoring import FEATURES
 
@@ -16,7 +16,7 @@ def client_visits(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame
     for the cut-off). Combined before the single shuffle on the client."""
     return rows.groupBy(cols.client).agg(
         F.count(cols.client).alias("NumVisits"),
-        F.coalesce(money_sum(F.col(cols.spend)), F.lit(0.0)).alias("TotalSpend"),
+        F.coalesce(exact_sum(F.col(cols.spend)), F.lit(0.0)).alias("TotalSpend"),
         F.max(cols.date).alias("LastVisit"),
     )
 

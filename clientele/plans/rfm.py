@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientele.columns import LineColumns, RfmColumns, TicketColumns
-from clientele.functions.numbers import MONEY
+from clientele.functions.numbers import AMOUNT
 from clientele.functions.scoring import FEATURES
 from clientele.operators import cluster, joins, rfm
 from clientele.operators.visits import as_rfm, client_visits, latest_visit, with_recency
@@ -59,14 +59,15 @@ def line_features(
     """Features of the lines joined with their tickets, without joining line by line.
 
     Lines are combined per ticket first: how many, and their latest date. A line
-    counts as a visit and spends its ticket's total. Lines without a known client
+    counts as a visit, at the time of day it has, and spends its ticket's total. Lines without a known client
     still count for the cut-off.
     """
+    visited = line_cols.stamp if line_cols.stamp in lines.columns else line_cols.date
     per_ticket = lines.groupBy(F.col(line_cols.ticket).alias("_ticket")).agg(
-        F.count("*").alias("_lines"), F.max(line_cols.date).alias("_latest")
+        F.count("*").alias("_lines"), F.max(visited).alias("_latest")
     )
     owners = tickets.filter(F.col(ticket_cols.client).isNotNull())
-    spent = F.col(ticket_cols.total).cast(MONEY) * F.col("_lines").cast("decimal(18,0)")
+    spent = F.col(ticket_cols.total).cast(AMOUNT) * F.col("_lines").cast("decimal(15,0)")
     visits = (
         per_ticket.join(owners, F.col("_ticket") == F.col(ticket_cols.ticket), "left")
         .groupBy(ticket_cols.client)

@@ -1,12 +1,13 @@
-"""Readers with declared schemas.
+"""Readers with declared schemas, bound by column name.
 
 Columns whose exports mix types (ids, dates) are read as text and converted by the
-cleaning operators; nothing is inferred, so a file is read once.
+cleaning operators. Of a CSV only the header line is read beforehand; no types are inferred.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 TICKETS = "TicketID string, ClientID string, Total double, Created_Date string"
 LINES = (
@@ -18,9 +19,21 @@ CLIENTS = (
 )
 
 
+def by_name(df: DataFrame, schema: str) -> DataFrame:
+    """The declared columns in their types, wherever they are in ``df``; others are left out.
+
+    A value that does not fit its type becomes null; a column that is not there is an error.
+    """
+    fields = StructType.fromDDL(schema).fields
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """CSV with a header line, Latin-1 by default."""
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+    return by_name(spark.read.option("header", True).option("encoding", encoding).csv(path), schema)
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +44,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The ticket lines, delivered as Parquet or as CSV."""
     if path.endswith(".csv"):
         return read_csv(spark, path, LINES)
-    return spark.read.schema(LINES).parquet(path)
+    return by_name(spark.read.parquet(path), LINES)
 
 
 def read_clients(spark: SparkSession, path: str) -> DataFrame:

@@ -279,7 +279,7 @@ NOTEBOOK_COLUMNS = RfmColumns(client="ClientID", date="Bill_Date", spend="ticket
 def _notebook_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
     """Dated lines and known tickets: the row-grain input of the RFM job."""
     tickets = cleaning.with_integer_ids(v.tickets_raw().na.drop(subset=["ClientID"]))
-    lines = _dated_lines(v).withColumn("Bill_Date", F.col("Bill_Date").cast("timestamp_ntz"))
+    lines = _dated_lines(v).withColumn("Bill_Date", F.col("Bill_Stamp"))
     return lines.select("TicketID", "Descr", "Total", "Bill_Date"), tickets
 
 

@@ -23,7 +23,7 @@ def _case(value: str, mapping: dict) -> str:
     return f"CASE {value} {whens} END"
 
 
-_MONEY = "sum(CAST({} AS DECIMAL(18,2)))"
+_MONEY = "sum(CAST({} AS DECIMAL(22,6)))"
 
 
 def _money(c: str) -> str:
@@ -53,14 +53,14 @@ CTES["line_base"] = "SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 CTES["lines"] = """
 SELECT l_orderkey AS TicketID, CASE WHEN l_linestatus = 'F' THEN 'S' ELSE 'P' END AS Type, p_brand AS Descr,
-       l_quantity AS Qty, l_extendedprice AS Total, l_shipdate AS Bill_Date,
+       l_quantity + 0.375::DOUBLE * (l_orderkey % 2) AS Qty, l_extendedprice AS Total, l_shipdate AS Bill_Date,
        CASE WHEN l_partkey % 53 <> 0 THEN p_type END AS Group1
 FROM line_base"""
 
 CTES["lines_raw"] = """
 SELECT CAST(l_orderkey AS VARCHAR) AS TicketID, CASE WHEN l_linestatus = 'F' THEN 'S' ELSE 'P' END AS Type,
-       p_brand AS Descr, l_quantity AS Qty, l_extendedprice AS Total,
-       CASE WHEN l_orderkey % 89 = 0 THEN 'bad' ELSE strftime(l_shipdate, '%d-%m-%Y %H:%M') END AS Created_Date2,
+       p_brand AS Descr, l_quantity + 0.375::DOUBLE * (l_orderkey % 2) AS Qty, l_extendedprice AS Total,
+       CASE WHEN l_orderkey % 89 = 0 THEN 'bad' ELSE strftime(l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)), '%d-%m-%Y %H:%M') END AS Created_Date2,
        CASE WHEN l_partkey % 53 <> 0 THEN p_type END AS Group1
 FROM line_base"""
 
@@ -81,6 +81,7 @@ CTES["tickets_ids"] = "SELECT * REPLACE (TRY_CAST(TicketID AS BIGINT) AS TicketI
 CTES["dated"] = """
 SELECT TRY_CAST(TicketID AS BIGINT) AS TicketID, Type, Descr, Qty, Total, Group1,
        CAST(try_strptime(Created_Date2, '%d-%m-%Y %H:%M') AS DATE) AS Bill_Date,
+       try_strptime(Created_Date2, '%d-%m-%Y %H:%M') AS Bill_Stamp,
        strftime(try_strptime(Created_Date2, '%d-%m-%Y %H:%M'), '%H:%M:%S') AS Bill_Time
 FROM lines_raw"""
 
@@ -167,7 +168,7 @@ CTES["cuts"] = _cuts("rfm")
 CTES["scored"] = _scored("rfm", "cuts")
 
 CTES["note_rows"] = """
-SELECT d.TicketID, d.Descr, d.Bill_Date, t.ClientID, t.Total AS ticket_total
+SELECT d.TicketID, d.Descr, d.Bill_Stamp AS Bill_Date, t.ClientID, t.Total AS ticket_total
 FROM dated d LEFT JOIN (SELECT * FROM tickets_ids WHERE ClientID IS NOT NULL) t ON d.TicketID = t.TicketID"""
 
 CTES["note_rfm"] = f"""
@@ -332,7 +333,7 @@ def _top_text(table: str, sentence: str) -> str:
     return f"""
 SELECT *, {_printf(sentence, 'names', 'frequencies', 'revenues')} AS sentence FROM (
   SELECT string_agg('''' || Descr || '''', ', ' {order}) AS names,
-         '[' || string_agg(CAST(CAST(frequency AS BIGINT) AS VARCHAR), ', ' {order}) || ']' AS frequencies,
+         '[' || string_agg(regexp_replace(CAST(CAST(frequency AS DECIMAL(22,6)) AS VARCHAR), '\\.?0+$', ''), ', ' {order}) || ']' AS frequencies,
          string_agg({_rupees('total_sum')}, ', ' {order}) AS revenues
   FROM ({_top(table)}))"""
 

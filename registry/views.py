@@ -39,19 +39,20 @@ class Views:
             F.col("l_orderkey").alias("TicketID"),
             F.when(F.col("l_linestatus") == "F", "S").otherwise("P").alias("Type"),
             F.col("p_brand").alias("Descr"),
-            F.col("l_quantity").alias("Qty"),
+            (F.col("l_quantity") + 0.375 * (F.col("l_orderkey") % 2)).alias("Qty"),
             F.col("l_extendedprice").alias("Total"),
             F.col("l_shipdate").alias("Bill_Date"),
             F.when(F.col("l_partkey") % 53 != 0, F.col("p_type")).alias("Group1"),
         )
 
     def lines_raw(self) -> DataFrame:
-        shipped = F.date_format("l_shipdate", "dd-MM-yyyy HH:mm")
+        hours = F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
+        shipped = F.date_format(F.col("l_shipdate") + hours, "dd-MM-yyyy HH:mm")
         return self._lines().select(
             F.col("l_orderkey").cast("string").alias("TicketID"),
             F.when(F.col("l_linestatus") == "F", "S").otherwise("P").alias("Type"),
             F.col("p_brand").alias("Descr"),
-            F.col("l_quantity").alias("Qty"),
+            (F.col("l_quantity") + 0.375 * (F.col("l_orderkey") % 2)).alias("Qty"),
             F.col("l_extendedprice").alias("Total"),
             F.when(F.col("l_orderkey") % 89 == 0, "bad").otherwise(shipped).alias("Created_Date2"),
             F.when(F.col("l_partkey") % 53 != 0, F.col("p_type")).alias("Group1"),
@@ -65,13 +66,15 @@ class Views:
             F.col("c_custkey").cast("string").alias("ClientID"),
             F.try_element_at(sex, F.col("c_mktsegment")).alias("Sex"),
             F.col("c_name").alias("HomePhone"),
-            (start + days).alias("Create_Date"),
+            F.date_format(start + days, "dd-MM-yyyy HH:mm").alias("Create_Date"),
             F.col("c_mktsegment").alias("category"),
         )
 
     def bookings(self) -> DataFrame:
         return self.table("orders").select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("date")
+            F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("id"),
+            F.col("o_custkey").alias("user_id"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         )
 
     def booking_services(self) -> DataFrame:

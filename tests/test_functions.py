@@ -35,10 +35,10 @@ def test_money_and_counts(spark):
     assert values(spark, [1234567], numbers.count_text, "x bigint") == ["1,234,567"]
 
 
-def test_money_sum_does_not_depend_on_order(spark):
+def test_exact_sum_does_not_depend_on_order(spark):
     amounts = [0.1, 0.2, 0.3, 1e9, -1e9, 0.7] * 50
     sums = {
-        spark.createDataFrame([(a,) for a in order], "x double").agg(numbers.money_sum(F.col("x"))).first()[0]
+        spark.createDataFrame([(a,) for a in order], "x double").agg(numbers.exact_sum(F.col("x"))).first()[0]
         for order in (amounts, amounts[::-1], sorted(amounts))
     }
     assert sums == {65.0}
