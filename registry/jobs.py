@@ -63,7 +63,8 @@ def csv_latin1_roundtrip(v: Views) -> DataFrame:
         F.concat(F.lit("Zoë ÀÿÖ "), "c_name").alias("FirstName"),
         F.col("c_acctbal").alias("Balance"),
     )
-    exports.write_csv(text, path, encoding="ISO-8859-1")
+    # the file has its columns in another order, and one more
+    exports.write_csv(text.select("Balance", F.lit("x").alias("Extra"), "FirstName", "ClientID"), path, encoding="ISO-8859-1")
     return tables.read_csv(v.spark, path, "ClientID string, FirstName string, Balance double")
 
 

@@ -227,3 +227,40 @@ def test_group_values_leave_null_keys_alone(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
     got = joins.with_group_values(df, ["k"], n=F.count("*"), top=F.max("v"))
     assert rows(got, "v", "n", "top") == [(1, 2, 2), (2, 2, 2), (3, None, None)]
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    path = str(tmp_path / "tickets.csv")
+    spark.createDataFrame([("new", "2023-01-05 09:00:00", "ann", "7", "12.5"), (None, "bad", None, "8", "no number")], "Note string, Created_Date string, ClientID string, TicketID string, Total string").write.option("header", True).csv(path)
+    read = tables.read_tickets(spark, path)
+    assert read.columns == ["TicketID", "ClientID", "Total", "Created_Date"]
+    assert sorted(tuple(r) for r in read.collect()) == [("7", "ann", 12.5, "2023-01-05 09:00:00"), ("8", None, None, "bad")]
+    with pytest.raises(ValueError, match="FirstName"):
+        tables.read_clients(spark, path)
+
+
+def test_parquet_lines_with_whole_numbers_as_ids(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([(5, "S", "cut", 1, 2.5, "05-01-2023 09:00", None)], "TicketID long, Type string, Descr string, Qty int, Total double, Created_Date2 string, Group1 string").write.parquet(path)
+    assert tuple(tables.read_lines(spark, path).first()) == ("5", "S", "cut", 1.0, 2.5, "05-01-2023 09:00", None)
+
+
+def test_quantities_and_small_amounts_are_not_rounded(spark):
+    lines = [("1", "P", "soap", 1.255, 0.004, dt.datetime(2023, 1, 5))] * 2 + [("1", "P", "comb", 0.75, 1.0, dt.datetime(2023, 1, 5))]
+    counts = dashboard.product_counts(spark.createDataFrame(lines, "TicketID string, Type string, Descr string, Qty double, Total double, Bill_Date timestamp"), 2023)
+    assert {r.Descr: (r.frequency, r.total_sum) for r in counts.collect()} == {"soap": (2.51, 0.008), "comb": (0.75, 1.0)}
+    assert dashboard.top_items_text(counts, "%s %s %s").first().frequencies == "[2.51, 0.75]"
+
+
+def test_time_of_day_counts_for_recency(spark):
+    from clientele.plans import rfm
+
+    lines = cleaning.with_line_dates(spark.createDataFrame([("1", "01-01-2023 23:00"), ("2", "03-01-2023 01:00")], "TicketID string, Created_Date2 string"))
+    tickets = spark.createDataFrame([("1", "ann", 1.0), ("2", "bob", 2.0)], "TicketID string, ClientID string, Total double")
+    assert {r.ClientID: r.Recency for r in rfm.line_features(lines, tickets).collect()} == {"ann": 1, "bob": 0}
+
+
+def test_client_dates_as_text(spark):
+    clients = spark.createDataFrame([("a", "05-01-2023 10:00"), ("b", "2023-02-03 07:00:00"), ("c", "2023-02-04"), ("d", "soon")], "ClientID string, Create_Date string")
+    read = {r.ClientID: r.Create_Date for r in cleaning.clean_clients(clients).collect()}
+    assert read == {"a": dt.datetime(2023, 1, 5, 10), "b": dt.datetime(2023, 2, 3, 7), "c": dt.datetime(2023, 2, 4), "d": None}
