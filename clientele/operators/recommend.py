@@ -39,8 +39,13 @@ def client_service_pivot(freq: DataFrame, services: list[str] | None = None) ->
     """Wide export: one row per client, one column per service, 0 where not taken.
 
     Without a list Spark looks the services up first and stops at
-    ``spark.sql.pivotMaxValues``.
+    ``spark.sql.pivotMaxValues``. A list must name every service: one that it lacks
+    is an error, not a column left out.
     """
+    if services is not None:
+        other = freq.filter(F.col("service").isNotNull() & ~F.col("service").isin(*services)).select("service").first()
+        if other is not None:
+            raise ValueError(f"the list lacks the service {other.service}")
     return freq.groupBy("client").pivot("service", services).agg(F.sum("frequency")).na.fill(0)
 
 

@@ -95,9 +95,14 @@ class Recommender:
         settings = self.vectors.sparkSession.createDataFrame([(floor,)], "floor double")
         save_tables({"vectors": self.vectors, "candidates": self.candidates(floor), "settings": settings}, path)
 
-    def save_similarity(self, path: str, floor: float = THRESHOLDS[0]) -> None:
-        """Store the similar pairs and which clients each profile stands for."""
-        save_tables({"profile_similarity": self.similar_pairs(floor), "client_profiles": self.membership()}, path)
+    def nearest_profiles(self, threshold: float = DEFAULT_THRESHOLD, k: int = 10) -> DataFrame:
+        """The ``k`` most similar other profiles of each profile: at most ``k`` rows each,
+        where ``similar_pairs`` grows with the square of what is alike."""
+        return similarity.top_neighbours(self.profiles, threshold, k)
+
+    def save_similarity(self, path: str, floor: float = THRESHOLDS[0], k: int = 10) -> None:
+        """Store each profile's nearest ones and which clients it stands for."""
+        save_tables({"profile_similarity": self.nearest_profiles(floor, k), "client_profiles": self.membership()}, path)
 
 
 def fit(freq: DataFrame, sample_n: int | None = None) -> Recommender:

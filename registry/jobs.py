@@ -520,7 +520,8 @@ def rec_client_service_window(v: Views) -> DataFrame:
 
 @query
 def client_service_pivot(v: Views) -> DataFrame:
-    return recommend.client_service_pivot(_ticket_freq(v), [f"Brand#{i}" for i in range(1, 26)])
+    brands = v.table("part").select("p_brand").distinct().orderBy("p_brand").collect()
+    return recommend.client_service_pivot(_ticket_freq(v), [r.p_brand for r in brands])
 
 
 @query
@@ -530,7 +531,8 @@ def client_profiles(v: Views) -> DataFrame:
 
 @query
 def client_similarity(v: Views) -> DataFrame:
-    return _tickets_fit(v).similar_pairs(THRESHOLD)
+    """The ten most similar profiles of each; the clients of a profile are in ``client_profiles``."""
+    return _tickets_fit(v).nearest_profiles(THRESHOLD, 10)
 
 
 @query

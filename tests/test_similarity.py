@@ -212,7 +212,7 @@ def test_saved_recommender_serves_higher_thresholds(spark, tmp_path):
     assert stored == {tuple(r) for r in fitted.top(0.75).collect()}
     with pytest.raises(ValueError):
         recommender.saved_scores(spark, str(tmp_path), 0.1)
-    assert spark.read.parquet(str(tmp_path / "profile_similarity")).count() == fitted.similar_pairs(0.25).count()
+    assert spark.read.parquet(str(tmp_path / "profile_similarity")).count() == fitted.nearest_profiles(0.25).count()
 
 
 def test_sample_is_part_of_the_clients(spark):
@@ -222,3 +222,28 @@ def test_sample_is_part_of_the_clients(spark):
     assert sampled.vectors.count() == 30
     assert {(r["client_a"], r["client_b"]) for r in sampled.similar_pairs(0.5).collect()} <= whole
     assert recommender.fit(frame(spark, baskets), sample_n=10_000).vectors.count() == len(baskets)
+
+
+def test_nearest_profiles_are_the_best_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    data = {f"c{i}": {f"s{j}": int(n) for j, n in enumerate(rng.integers(0, 3, 6)) if n} for i in range(40)}
+    fitted = recommender.fit(frame(spark, {c: b for c, b in data.items() if b}))
+    both = [(r["client_a"], r["client_b"], r["similarity"]) for r in fitted.similar_pairs(0.3).collect()]
+    want = {}
+    for a, b, s in both + [(b, a, s) for a, b, s in both]:
+        want.setdefault(a, []).append((-s, b))
+    found = {}
+    for r in fitted.nearest_profiles(0.3, 4).collect():
+        found.setdefault(r["client"], []).append((-r["similarity"], r["neighbour"]))
+    assert {c: sorted(v) for c, v in found.items()} == {c: sorted(v)[:4] for c, v in want.items()}
+
+
+def test_a_list_of_services_must_be_complete(spark):
+    freq = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "client string, service string, frequency long")
+    with pytest.raises(ValueError, match="lacks the service y"):
+        recommend.client_service_pivot(freq, ["x"])
+
+
+def test_blocks_stay_small_however_many_profiles():
+    for rows in (10, 10**6, 10**9):
+        assert rows / similarity.grid_size(rows, 8) <= similarity.BLOCK_ROWS
