@@ -257,13 +257,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(df: DataFrame, field: Chain | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per text ``doc_id, held_out, lang_pred, score``; predictions read nothing but the text."""
-    shared = df.sparkSession.sparkContext.broadcast(field or train(df, id_col, text_col, lang_col))
+    field = field or train(df, id_col, text_col, lang_col)
     identity, flag = F.col(f"`{id_col}`"), unused(df, "_held_out")
     docs = df.select(identity.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(identity).alias(flag))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
-            found = shared.value.predict(batch.column("text").to_pylist())
+            found = field.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column(flag),
                 "lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64()),

@@ -375,7 +375,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fiel
 def find_pii(df: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text ``doc_id``, pattern counts, ``base_sha256``, ``spans`` (all) and ``n_added``."""
     docs = texts(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(field or train(df, id_col, text_col))
+    field = field or train(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
@@ -383,7 +383,7 @@ def find_pii(df: DataFrame, field: Field | None = None, id_col: str = "doc_id",
             counts: list[list[int]] = []
             sha, spans, added = [], [], []
             for text in batch.column("text").to_pylist():
-                base, full = find(text or "", shared.value)
+                base, full = find(text or "", field)
                 counts.append([sum(s[0] == k for s in base) for k in KINDS] if base else [0] * len(KINDS))
                 sha.append(hashlib.sha256(written(base).encode()).hexdigest() if base else nothing)
                 spans.append(written(full) if full else "")

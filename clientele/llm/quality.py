@@ -264,14 +264,14 @@ def _pooled(df: DataFrame, lang_col: str) -> Column:
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """Per text the base features, ``base_failed``, ``kept`` and the distances (null if not compared)."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _pooled(df, lang_col).alias("lang"))
-    shared = df.sparkSession.sparkContext.broadcast(references(rows.select("lang", "text")))
+    known = references(rows.select("lang", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            columns = zip(*(judge(lang, text, shared.value, limits) for lang, text in _rows(batch)))
+            columns = zip(*(judge(lang, text, known, limits) for lang, text in _rows(batch)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {n: pa.array(c, t) for n, c, t in zip(names, columns, types)})
 
     schema = StructType([rows.schema["doc_id"]])
@@ -283,14 +283,14 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def good_texts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``df`` whose text is kept, all columns as they are."""
     pooled = _pooled(df, lang_col)
-    shared = df.sparkSession.sparkContext.broadcast(references(df.select(pooled.alias("lang"), F.col(f"`{text_col}`").alias("text"))))
+    known = references(df.select(pooled.alias("lang"), F.col(f"`{text_col}`").alias("text")))
     extra = unused(df, "_pooled_lang")
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             named = pa.RecordBatch.from_arrays([batch.column(extra), batch.column(text_col)], names=["lang", "text"])
-            kept = [judge(lang, text, shared.value, limits)[6] for lang, text in _rows(named)]
+            kept = [judge(lang, text, known, limits)[6] for lang, text in _rows(named)]
             yield batch.select(columns).filter(pa.array(kept, pa.bool_()))
 
     return df.withColumn(extra, pooled).mapInArrow(run, df.schema)
