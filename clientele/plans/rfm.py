@@ -37,6 +37,20 @@ def rfm_by_client(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame
     return score(rfm_features(rows, cols))
 
 
+def rfm_of_sales(sales: DataFrame, scaler: cluster.Scaler | None = None, clustering: cluster.Clustering | None = None) -> DataFrame:
+    """The whole client table of an export: attributes and averages of ``sales`` with scores,
+    segment, tier and cluster.
+
+    ``sales`` has one row per client, so everything here is a projection behind its staging;
+    a model that is not given is fitted.
+    """
+    features = stage(as_rfm(sales), "sales_features")
+    if scaler is None or clustering is None:
+        fitted = fit_model(features)
+        scaler, clustering = fitted.scaler, fitted.clustering
+    return cluster.assign_features(score(features), scaler, clustering)
+
+
 def rfm_by_row(rows: DataFrame, cols: RfmColumns = RfmColumns()) -> DataFrame:
     """Scores on every row that has a client with complete features; every row counts
     in the quintiles, so a client weighs as much as it has rows.

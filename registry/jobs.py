@@ -356,6 +356,21 @@ def tier_export(v: Views) -> DataFrame:
     )
 
 
+@query
+def tier_export_full(v: Views) -> DataFrame:
+    """All attributes of the exported clients, read back from the files of every tier."""
+    features = _features(v)
+    fitted = cluster.fit_scaler(cluster.with_cube_roots(features))
+    path = new_path(v.spark, "tiers")
+    exports.write_tiers(rfm_plan.rfm_of_sales(QUERIES["client_sales"](v.spark, v.folder), fitted, GIVEN), path)
+    schema = (
+        "`ClientID` string, `HomePhone` string, `Sex` string, `avg_yrly_services` double, `avg_mnthly_services` double, "
+        "`Days since last visit` bigint, `Number of Visits` bigint, `Total Billed` double, `RFM_Score` int, `Segment` string, "
+        "`Cluster Segment` string, `AVB` double, `Tier` string"
+    )
+    return tables.read_csv(v.spark, path, schema, encoding="UTF-8")
+
+
 def _tier_files(v: Views, tier: str) -> DataFrame:
     """Rows read back from the files of one exported tier."""
     path = new_path(v.spark, "tiers")

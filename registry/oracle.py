@@ -445,6 +445,10 @@ SELECT TicketID, ClientID, Descr, Recency, Frequency, Monetary, RFM_Segment, Seg
     ),
     "rfm_score_saved_cuts": "SELECT ClientID, RFM_Segment, Segment, Tier FROM scored",
     "tier_export": "SELECT * FROM export",
+    "tier_export_full": """
+SELECT e.ClientID, HomePhone, Sex, avg_yrly_services, avg_mnthly_services, "Days since last visit", "Number of Visits",
+       "Total Billed", RFM_Score, Segment, "Cluster Segment", AVB, Tier
+FROM export e JOIN sales s ON s.ClientID = e.ClientID JOIN clustered c ON c.ClientID = e.ClientID""",
     "tier_export_platinum": _tier_rows("Platinum"),
     "tier_export_gold": _tier_rows("Gold"),
     "tier_export_silver": _tier_rows("Silver"),
