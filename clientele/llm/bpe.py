@@ -34,6 +34,8 @@ END = ""
 #: Texts of these characters alone are lower-cased and split here; the tokenizers library does it for others.
 UNUSUAL = re.compile("[^\x00-ſ]")
 CACHED = 200_000
+#: Words whose packed ids are remembered; such an entry takes less than half the room.
+PACKED = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -152,6 +154,9 @@ class Encoder:
         self.letters = byte_letters()
         self.of_word = Recent(self._word)
         self.of_letters = Recent(self._letters)
+        self.two_bytes = {t: i.to_bytes(2, "little") for t, i in self.vocabulary.ids.items() if i < 1 << 16}
+        self.packed_word = Recent(self._packed_word, PACKED)
+        self.packed_letters = Recent(self._packed_letters)
 
     def _letters(self, word: str) -> tuple[int, str, str]:
         """For a word in byte letters: how many tokens, their ids and their names as text."""
@@ -162,24 +167,39 @@ class Encoder:
     def _word(self, word: str) -> tuple[int, str, str]:
         return self._letters(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters))
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """What ``_letters`` gives for every word and special token of a whole text, in order."""
+    def _packed_letters(self, word: str) -> bytes:
+        return b"".join([self.two_bytes[t] for t in self.vocabulary.tokens(word)])
+
+    def _packed_word(self, word: str) -> bytes:
+        return self._packed_letters(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+
+    def _walk(self, text: str, of_word: Recent, of_letters: Recent, of_special: Callable) -> list:
+        """What the caches give for every word and special token of a whole text, in order."""
         if self.specials and "<" in text and (cut := self.specials.split(text))[1:]:
             out = []
             for k, part in enumerate(cut):
-                out += [(1, str(self.special[part]), part)] if k % 2 else self.parts(part)
+                out += [of_special(part)] if k % 2 else self._walk(part, of_word, of_letters, of_special)
             return out
         if not UNUSUAL.search(text):
-            of_word = self.of_word
             return [of_word[w] for w in self.word.findall(text.lower())]
         out = []
         for line in text.split("\n"):
             if UNUSUAL.search(line):
-                out += [self.of_letters[w] for w, _ in self.split(self.normalise(line))]
+                out += [of_letters[w] for w, _ in self.split(self.normalise(line))]
             else:
-                out += self.parts(line)
+                out += self._walk(line, of_word, of_letters, of_special)
         return out
 
+    def parts(self, text: str) -> list[tuple[int, str, str]]:
+        """What ``_letters`` gives for every word and special token of a whole text, in order."""
+        return self._walk(text, self.of_word, self.of_letters, lambda part: (1, str(self.special[part]), part))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as 16-bit numbers, little endian."""
+        if len(self.two_bytes) < len(self.vocabulary.ids):
+            raise ValueError("ids do not fit into 16 bits")
+        return b"".join(self._walk(text, self.packed_word, self.packed_letters, lambda part: self.special[part].to_bytes(2, "little")))
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split()]
 
