@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from clientele.llm.inputs import pieces, texts
 END = ""
 #: Texts of these characters alone are lower-cased and split here; the tokenizers library does it for others.
 UNUSUAL = re.compile("[^\x00-ſ]")
-CACHED = 200_000
+CACHED = 120_000
 #: Words whose packed ids are remembered; such an entry takes less than half the room.
 PACKED = 500_000
 
@@ -241,7 +242,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 2 << 20):
             counts, ids_sha, decoded_sha, ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = own.parts(text or "")
@@ -249,7 +250,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 ids_sha.append(sha256(" ".join([p[1] for p in found])))
                 decoded_sha.append(sha256(" ".join([p[2] for p in found])))
                 if with_ids:
-                    ids.append([int(i) for p in found for i in p[1].split()])
+                    ids.append(np.array(" ".join([p[1] for p in found]).split(), np.int32))
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
             if with_ids:
                 columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
