@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,15 +107,13 @@ def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequenc
     """``shard, place, slot, doc_id, part, n_tokens, ids``, range-partitioned by shard and sorted by slot."""
     staged = stage(tokenise(df, vocabulary, length, **options), "sequences")
     rows, total = numbered(staged)
-    kinds = StructType([f for f in rows.schema.fields if f.name != "index"]).add("slot", "long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                slots = feistel(batch.column("index").to_numpy(), total, key)
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kinds.fields[:-1]), pa.array(slots, pa.int64())], names=kinds.names)
+    # only the index goes to Python; the ids stay where they are
+    @F.pandas_udf("long")
+    def slots(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), total, key))
 
-    placed = rows.mapInArrow(run, kinds)
+    placed = rows.withColumn("slot", slots("index")).drop("index")
     shard = F.expr(f"cast(slot div {shard_sequences}L as int)")
     placed = placed.withColumn("shard", shard).withColumn("place", F.col("slot") % shard_sequences)
     return placed.select("shard", "place", "slot", "doc_id", "part", "n_tokens", "ids").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
