@@ -15,8 +15,12 @@ at least ``percent`` in a hundred.
    four more, then with all others. What the rounds before have connected is not compared again, so
    a group of n near copies costs about n comparisons.
 5. Components of the confirmed links by alternating large and small stars.
+6. What the stars leave: members of a bucket, centres aside, that are still in different components. They
+   meet by exact prefix filtering on their full sets: in any order of the hashes, two similar sets share
+   one among the first ``n - overlap + 1`` of each, and with the rarest first a template's hashes come
+   last, so its siblings do not meet by them. No pair of a bucket is left out.
 
-Two texts at the limit of 0.8 miss each other in all bands with probability
+Two texts at the limit of 0.8 share no bucket at all with probability
 ``(1 - 0.8 ** ROWS) ** BANDS`` (3e-6); texts that are more alike, less.
 
 Cases with a defined result: null, empty and blank texts have an empty set, link with nothing and are
@@ -145,8 +149,8 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, StructType(fields))
 
 
-def star_candidates(classes: DataFrame) -> DataFrame:
-    """``node, n, centres``: each class with the centres of its buckets, the smallest first (at most two per band).
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """``node, n, bucket, least, drawn, members``: the classes of each bucket of two or more, with its two centres.
 
     A bucket's key holds its band. The random member is the smallest id after a scrambling that the
     key decides, which for integer ids a plain minimum finds, so only numbers are shuffled.
@@ -158,12 +162,50 @@ def star_candidates(classes: DataFrame) -> DataFrame:
     else:
         low, drawn = F.min_by("node", F.xxhash64("bucket", "node")), F.col("low")
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), low.alias("low"))
-    centres = buckets.filter("members > 1").select("bucket", "least", drawn.alias("drawn"))
-    stars = members.join(centres, "bucket")
-    edges = stars.select("node", "n", F.explode(F.array("least", "drawn")).alias("centre")).filter("node <> centre")
+    centres = buckets.filter("members > 1").select("bucket", "members", "least", drawn.alias("drawn"))
+    return members.join(centres, "bucket")
+
+
+def star_candidates(members: DataFrame) -> DataFrame:
+    """``node, n, centres``: each class with the centres of its buckets, the smallest first (at most two per band)."""
+    edges = members.select("node", "n", F.explode(F.array("least", "drawn")).alias("centre")).filter("node <> centre")
     return edges.groupBy("node", "n").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, component, stray``: classes of buckets whose members, centres aside, lie in several components.
+
+    ``stray`` if in one of them the class is not in the largest component: of any two that have not
+    been compared at least one is.
+    """
+    others = members.filter("members > 2 AND node <> least AND node <> drawn").select("bucket", "node")
+    named = others.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).filter("parts > 1")
+    left = named.join(several, "bucket")
+    return left.groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
+
+
+def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``left`` from different components that may be similar: all that are, and few others.
+
+    If the first hash two sets share has ``i`` and ``j`` before it, they share at most the smaller of ``n - i``
+    and ``m - j``, and similar ones share ``percent / (100 + percent)`` of ``n + m``.
+    """
+    own = sets.join(bounded(left), F.col("doc_id") == F.col("node")).select("node", "component", "stray", "n", F.explode("s").alias("h"))
+    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # hashes that no other set has come first; only their number matters
+    shared = own.join(often, "h").groupBy("node", "component", "stray", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("shared"))
+    first = shared.select("node", "component", "stray", "n", F.posexplode("shared").alias("place", "x"), (F.col("n") - F.size("shared")).alias("alone"))
+    first = first.select("node", "component", "stray", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), F.col("x.h").alias("h")).filter(100 * F.col("rest") >= percent * F.col("n"))
+    first = stage(first, "prefixes")
+    a, b = (first.select(*(F.col(c).alias(f"{c}_{end}") for c in ("h", "node", "component", "stray", "n", "rest"))) for end in "ab")
+    once = ~F.col("stray_b") | (F.col("node_a") < F.col("node_b"))
+    close = ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("component_a") != F.col("component_b"))
+    pairs = a.filter("stray_a").join(b, (F.col("h_a") == F.col("h_b")) & once & close)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of the undirected ``a, b``."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -207,7 +249,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     signed = stage(signatures(docs, words), "signatures")
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stage(linkable.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    candidates = stage(star_candidates(classes), "stars")
+    members = stage(bucket_members(classes), "members")
+    candidates = stage(star_candidates(members), "stars")
     wanted = stage(candidates.select(F.explode(F.array_append("centres", F.col("node"))).alias("doc_id")).distinct(), "wanted")
     sets = stage(full_sets(docs.join(bounded(wanted), "doc_id", "left_semi"), words), "sets")
 
@@ -224,6 +267,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         rest = rest.filter(F.col("rank") >= last)
 
+    left = stage(unsettled(members, labels), "unsettled")
+    if not left.isEmpty():
+        links = confirmed(prefix_pairs(left, sets, percent), sets, percent)
+        labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
     named = classes.select("f1", "f2", "n", "node").join(labels, "node", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     found = signed.drop("bands").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

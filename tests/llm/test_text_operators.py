@@ -342,6 +342,38 @@ def test_components_equal_all_pairs(spark):
     assert left == {k for k in smallest if smallest[k] == k} | {None}
 
 
+def test_pairs_inside_a_template_family(spark):
+    rng, rows = random.Random(21), []
+    template = [f"t{k}" for k in range(870)]
+    for family in range(1200):
+        # siblings at 0.77; every third has a true partner at 0.82
+        inner = [f"f{family}x{k}" for k in range(31)]
+        for _ in range(2 if family % 3 == 0 else 1):
+            own = [f"r{len(rows)}x{k}" for k in range(99)]
+            words = template + inner + own
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join(words)))
+    sets = [frozenset(t.split()) for _, t in rows]
+    whole = np.array([len(x) for x in sets])
+    numbers = {w: k for k, w in enumerate(sorted(set().union(*sets)))}
+    lists: dict[int, list[int]] = {}
+    for k, x in enumerate(sets):
+        for w in x:
+            lists.setdefault(numbers[w], []).append(k)
+    shared = np.zeros((len(rows), len(rows)), np.int32)
+    for at in lists.values():
+        if len(at) == len(rows):
+            shared += 1
+        else:
+            shared[np.ix_(at, at)] += 1
+    a, b = np.nonzero(np.triu(100 * shared >= 80 * (whole[:, None] + whole[None, :] - shared), 1))
+    links = list(zip(a.tolist(), b.tolist()))
+    assert len(links) == 400
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), words=1).collect()}
+    assert sum(found[x] != found[y] for x, y in links) == 0
+    assert len(set(found.values())) == len(rows) - len(links)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     agree = []
