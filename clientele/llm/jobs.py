@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clientele.llm import bpe, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding, training_order
 from clientele.llm.inputs import table, whole
+from clientele.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,8 +50,8 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
-    ordered = training_order.in_order(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return ordered.select("doc_id", "part", "n_tokens", "slot", "shard", (F.col("place") * training_order.stride(training_order.LENGTH)).alias("byte_offset"), F.crc32("ids").alias("ids_crc32"))
+    found = training_order.written(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "shards"))
+    return found.select("doc_id", "part", "n_tokens", "slot", "shard", "byte_offset", "ids_crc32")
 
 
 @query

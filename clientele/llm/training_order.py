@@ -19,6 +19,7 @@ is fixed once written.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,8 +104,8 @@ def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(offsets), "file").withColumn("index", F.col("start") + F.col("row")).drop("file", "row", "start"), total
 
 
-def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
-    """``shard, place, slot, doc_id, part, n_tokens, ids``, range-partitioned by shard and sorted by slot."""
+def placed(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
+    """``shard, place, slot, doc_id, part, n_tokens, ids`` of every sequence; staged, so it can be read again."""
     staged = stage(tokenise(df, vocabulary, length, **options), "sequences")
     rows, total = numbered(staged)
 
@@ -113,10 +114,15 @@ def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequenc
     def slots(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    placed = rows.withColumn("slot", slots("index")).drop("index")
+    found = rows.withColumn("slot", slots("index")).drop("index")
     shard = F.expr(f"cast(slot div {shard_sequences}L as int)")
-    placed = placed.withColumn("shard", shard).withColumn("place", F.col("slot") % shard_sequences)
-    return placed.select("shard", "place", "slot", "doc_id", "part", "n_tokens", "ids").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    found = found.withColumn("shard", shard).withColumn("place", F.col("slot") % shard_sequences)
+    return found.select("shard", "place", "slot", "doc_id", "part", "n_tokens", "ids")
+
+
+def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
+    """``placed``, range-partitioned by shard and sorted by slot."""
+    return placed(df, vocabulary, length, shard_sequences, key, **options).repartitionByRange("shard").sortWithinPartitions("shard", "slot")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -128,6 +134,40 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     ordered.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END.decode()).text(path)
 
 
+def written_records(spark: SparkSession, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
+    """``slot, shard, byte_offset, ids_crc32`` of every record in the files of ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:  # nothing was written
+        return spark.createDataFrame([], "slot long, shard int, byte_offset long, ids_crc32 long")
+    size = stride(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+                data = content.as_buffer()
+                if data.size % size:
+                    raise ValueError(f"shard {shard} is not a whole number of records")
+                at = np.arange(data.size // size, dtype=np.int64)
+                view = memoryview(data)
+                sums = [zlib.crc32(view[k : k + 2 * length]) for k in (at * size).tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "slot": pa.array(at + shard * shard_sequences), "shard": pa.array(np.full(len(at), shard, np.int32)),
+                    "byte_offset": pa.array(at * size), "ids_crc32": pa.array(sums, pa.int64()),
+                })
+
+    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, ids_crc32 long")
+
+
+def written(df: DataFrame, vocabulary: str, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
+    """Write the shards to ``path``; per sequence ``doc_id, part, n_tokens`` and what its record in the files says.
+
+    A sequence without a record would have nulls.
+    """
+    rows = placed(df, vocabulary, length, shard_sequences, key, **options)
+    write_shards(rows.repartitionByRange("shard").sortWithinPartitions("shard", "slot"), path)
+    return rows.select("slot", "doc_id", "part", "n_tokens").join(written_records(df.sparkSession, path, length, shard_sequences), "slot", "left")
+
+
 def read_slots(spark: SparkSession, path: str, first: int, last: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
     """``slot, ids`` (numbers) for the slots from ``first`` up to ``last``, excluded: only their shards are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

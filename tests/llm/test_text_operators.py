@@ -418,6 +418,23 @@ def test_shard_files_give_back_every_sequence(spark, tmp_path):
     assert sum(list(ids[: slots[k].n_tokens]) == again for k, ids in read.items() if slots[k].doc_id == 7) == 2
 
 
+def test_registered_order_comes_from_written_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(31)
+    folder, path = str(tmp_path / "in"), str(tmp_path / "shards")
+    documents(spark, [(k, sentence(rng, rng.randrange(0, 900))) for k in range(40)] + odd_rows(rng)).write.parquet(f"{folder}/documents.parquet")
+    from clientele.llm import jobs
+
+    monkeypatch.setattr(jobs, "new_path", lambda spark, name: path)
+    found = jobs.QUERIES["op8_training_order"](spark, folder).collect()
+    files = {int(x.parent.name.split("=")[1]): x.read_bytes() for x in (tmp_path / "shards").glob("shard=*/part-*")}
+    size = training_order.stride(training_order.LENGTH)
+    assert sorted(r.slot for r in found) == list(range(len(found))) and sum(map(len, files.values())) == len(found) * size
+    assert all(r.byte_offset == r.slot % training_order.SHARD_SEQUENCES * size for r in found)
+    assert all(zlib.crc32(files[r.shard][r.byte_offset : r.byte_offset + size - 1]) == r.ids_crc32 for r in found)
+    nothing = training_order.written(documents(spark, [(1, "")]), VOCABULARY, str(tmp_path / "none"))
+    assert nothing.collect() == []
+
+
 # --- language
 
 
