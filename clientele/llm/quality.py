@@ -4,19 +4,19 @@ A text's histograms of character classes and of common words are compared with t
 language by the Jensen-Shannon distance (base 2, so between 0 and 1). References are counts over all
 texts of ``MIN_WORDS`` words or more:
 
-* languages with at least a thousandth of the rows have one each, so there are at most 1,000; the
-  texts of all others, and those without a language, share one;
+* every language whose texts have ``MIN_REFERENCE`` words has one, whatever its share of the rows, of at
+  most ``1 / COMMON`` words; texts of other languages are not compared, and never with a mixture. A
+  text without a language is compared with the reference whose limits it keeps best;
 * a language's common words are all those that make up at least ``COMMON`` of its words. Each task
   keeps a frequent-words summary of bounded size; the summed counts miss a word by at most half that
   share, so at most ``2 / COMMON`` words per language stay candidates, among them all common ones,
   and a second pass counts the candidates exactly.
 
-A text is compared only if it has ``MIN_COMPARED`` words, and its words only if the reference has
-``MIN_REFERENCE`` words. A text that fails a base rule, or lies further from its reference than the
+A text is compared only if it has ``MIN_COMPARED`` words. A text that fails a base rule, or lies further from its reference than the
 limits, is rejected.
 
 Cases with a defined result: null, empty and blank texts have no words and fail the base rules; rows
-repeat as often as they come; an empty table gives an empty table; a null language is the shared one;
+repeat as often as they come; an empty table gives an empty table; an empty language is a null one;
 without any text of ``MIN_WORDS`` words nothing is compared; other columns are not read.
 """
 
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +44,8 @@ KEPT = round(2 / COMMON)
 MIN_WORDS = 10
 MIN_COMPARED = 30
 MIN_REFERENCE = 1000
-SHARE = 1000
+#: Languages a task counts before it hands on what it has.
+HELD = 1000
 REST = ""
 #: A to Z in lower case, ASCII punctuation and white space as blanks.
 BARE = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else 32 if b < 128 else b for b in range(256))
@@ -161,27 +162,34 @@ def candidates(df: DataFrame) -> dict[str, set[bytes]]:
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         totals: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, None, n) for lang, n in totals.items()]
+            return pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in out], pa.string()), "word": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.int64())})
+
         for batch in pieces(batches):
             for lang, text in _rows(batch):
-                if len(text.split(None, MIN_WORDS)) >= MIN_WORDS:
+                if lang and len(text.split(None, MIN_WORDS)) >= MIN_WORDS:
                     own = bare_words(text)
                     totals[lang] += len(own)
                     words.setdefault(lang, Counter()).update(own)
             words = {lang: summarise(c) for lang, c in words.items()}
-        out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, None, n) for lang, n in totals.items()]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in out], pa.string()), "word": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.int64())})
+            if len(words) > HELD:
+                yield counted()
+                words, totals = {}, Counter()
+        yield counted()
 
     counted = df.mapInArrow(frequent, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = stage(counted, "frequent_words")
-    totals = counted.filter("word IS NULL").select("lang", F.col("n").alias("total"))
-    found: dict[str, set[bytes]] = {}
+    totals = counted.filter("word IS NULL").select("lang", F.col("n").alias("total")).filter(F.col("total") >= MIN_REFERENCE)
+    found: dict[str, set[bytes]] = {r.lang: set() for r in totals.collect()}
     for lang, word in counted.filter("word IS NOT NULL").join(totals, "lang").filter(F.col("n") >= F.col("total") * (COMMON / 2)).select("lang", "word").collect():
-        found.setdefault(lang, set()).add(bytes(word))
+        found[lang].add(bytes(word))
     return found
 
 
 def references(df: DataFrame) -> dict[str, Reference]:
-    """The references of all languages; ``df`` has ``lang`` and ``text``, with rare languages as ``REST``."""
+    """The references of all languages of ``MIN_REFERENCE`` words; ``df`` has ``lang`` and ``text``."""
     spark = df.sparkSession
     named = candidates(df)
     shared = spark.sparkContext.broadcast(named)
@@ -191,10 +199,10 @@ def references(df: DataFrame) -> dict[str, Reference]:
         words: dict[str, Counter] = {}
         for batch in pieces(batches):
             for lang, text in _rows(batch):
-                if len(text.split(None, MIN_WORDS)) < MIN_WORDS:
+                if lang not in shared.value or len(text.split(None, MIN_WORDS)) < MIN_WORDS:
                     continue
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
-                known, into = shared.value.get(lang, ()), words.setdefault(lang, Counter())
+                known, into = shared.value[lang], words.setdefault(lang, Counter())
                 own = bare_words(text)
                 mine = [w for w in own if w in known]
                 into.update(mine)
@@ -237,6 +245,10 @@ class Limits:
     words_short: float = 2.2
     compared: int = MIN_COMPARED
 
+    def used(self, n_words: int, chars: float, words: float | None) -> float:
+        """The larger of the distances as shares of their limits."""
+        return max(chars / (self.chars + self.chars_short / n_words), 0.0 if words is None else words / (self.words + self.words_short / n_words**0.5))
+
     def exceeded(self, n_words: int, chars: float, words: float | None) -> bool:
         return chars > self.chars + self.chars_short / n_words or (words is not None and words > self.words + self.words_short / n_words**0.5)
 
@@ -246,24 +258,17 @@ def judge(lang: str, text: bytes, known: dict[str, Reference], limits: Limits) -
     words = text.split()
     base = base_features(text, words)
     failed = base_failed(base[0], base[-1])
-    if len(words) < limits.compared or lang not in known:
+    own = known.values() if lang == REST else [known[lang]] if lang in known else []
+    if len(words) < limits.compared or not own:
         return *base, failed, not failed, None, None
-    chars, common = known[lang].distances(text)
+    # a text without a language may be of any: the reference whose limits it keeps best decides
+    chars, common = min((x.distances(text) for x in own), key=lambda d: limits.used(len(words), *d))
     return *base, failed, not (failed or limits.exceeded(len(words), chars, common)), chars, common
 
 
-def _pooled(df: DataFrame, lang_col: str) -> Column:
-    """The language, or ``REST`` for those with less than a thousandth of the rows."""
-    lang = F.col(f"`{lang_col}`").cast("string")
-    counted = df.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    common = [r[0] for r in counted.filter((F.col("n") * SHARE >= total) & F.col("lang").isNotNull()).collect()]
-    return F.when(lang.isin(common), lang).otherwise(F.lit(REST)) if common else F.lit(REST)
-
-
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """Per text the base features, ``base_failed``, ``kept`` and the distances (null if not compared)."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _pooled(df, lang_col).alias("lang"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     known = references(rows.select("lang", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2
@@ -282,9 +287,9 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def good_texts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``df`` whose text is kept, all columns as they are."""
-    pooled = _pooled(df, lang_col)
-    known = references(df.select(pooled.alias("lang"), F.col(f"`{text_col}`").alias("text")))
-    extra = unused(df, "_pooled_lang")
+    lang = F.col(f"`{lang_col}`").cast("string")
+    known = references(df.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")))
+    extra = unused(df, "_lang")
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +298,4 @@ def good_texts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", li
             kept = [judge(lang, text, known, limits)[6] for lang, text in _rows(named)]
             yield batch.select(columns).filter(pa.array(kept, pa.bool_()))
 
-    return df.withColumn(extra, pooled).mapInArrow(run, df.schema)
+    return df.withColumn(extra, lang).mapInArrow(run, df.schema)

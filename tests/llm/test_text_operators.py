@@ -267,6 +267,19 @@ def test_quality_features_and_verdicts(spark):
     assert {r.doc_id for r in quality.good_texts(documents(spark, rows)).collect()} == set(range(200))
 
 
+def test_rare_languages_have_their_own_reference(spark):
+    rng = random.Random(33)
+    greek = ["".join(chr(0x3B1 + (k * 7 + j * 5) % 24) for j in range(6)) for k in range(20)]
+    latin = lambda: " ".join(f"word{rng.randrange(20)}" for _ in range(120))
+    rows = [(k, latin(), "en") for k in range(20000)]
+    rows += [(30000 + k, " ".join(rng.choice(greek) for _ in range(120)), "el") for k in range(12)]
+    rows += [(40000, " ".join(rng.choice(greek) for _ in range(120)), None), (40001, latin(), None), (40002, "# $ % " * 200, None)]
+    rows += [(50000, " ".join(f"\u4e2d{chr(0x4E00 + rng.randrange(999))}" for _ in range(60)), "zh")]
+    found = {r.doc_id: r for r in quality.assess(documents(spark, rows)).filter("doc_id >= 30000").collect()}
+    assert all(found[30000 + k].kept for k in range(12)) and found[40000].kept and found[40001].kept
+    assert not found[40002].kept and found[50000].kept and found[50000].char_distance is None
+
+
 def test_divergence_by_hand():
     p, q = np.array([1.0, 1, 0]), np.array([1.0, 0, 3])
     m = (p / 2 + q / 4) / 2
