@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding, training_order
+from clientele.llm import bpe, conversation_repair, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding, training_order
 from clientele.llm.inputs import table, whole
 from clientele.session import new_path
 
@@ -73,3 +73,9 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows.select("conv_id"))

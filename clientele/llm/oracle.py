@@ -92,3 +92,74 @@ SELECT d.doc_id, coalesce(len(s.s), 0) AS n_shingles, coalesce(l.component, d.do
 FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id
 LEFT JOIN members m ON m.doc_id = d.doc_id LEFT JOIN labels l ON l.node = m.node
 """
+
+# The checksum bit by bit; costs and audits from the last row to the first, all texts of equal cost compared.
+ORACLE["op13_conversations"] = r"""
+WITH RECURSIVE source AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), keyed AS (
+    SELECT *, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT),
+        lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 20 AS fault FROM source
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM keyed
+), ordered AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+           CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS kind
+    FROM damaged
+), marked AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault,
+           lag(kind) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+    FROM ordered
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || kind NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM marked GROUP BY conv_id
+), back AS (
+    SELECT conv_id, n AS pos, {'c': 0, 'a': ''} AS s, {'c': 4, 'a': 'II'} AS y, {'c': 2, 'a': 'I'} AS u, {'c': 0, 'a': ''} AS a FROM counted
+    UNION ALL
+    SELECT conv_id, pos - 1,
+        least(fs, {'c': least(fu, ia).c + 2, 'a': 'I' || least(fu, ia).a}), least(fy, {'c': least(fu, ia).c + 2, 'a': 'I' || least(fu, ia).a}),
+        least(fu, ia), least(fa, iu)
+    FROM (
+        SELECT *, {'c': fa.c + 2, 'a': 'I' || fa.a} AS ia, {'c': fu.c + 2, 'a': 'I' || fu.a} AS iu FROM (
+            SELECT b.conv_id, b.pos,
+                list_min([{'c': s.c + 3, 'a': 'D' || s.a}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + cut, 'a': 'R' || u.a}] END
+                    || CASE WHEN gone THEN [] WHEN kind = 's' THEN [{'c': y.c + cut, 'a': 'K' || y.a}] WHEN kind = 'u' THEN [{'c': u.c + cut, 'a': 'K' || u.a}] ELSE [] END) AS fs,
+                list_min([{'c': y.c + 3, 'a': 'D' || y.a}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + cut, 'a': 'R' || u.a}] END
+                    || CASE WHEN gone THEN [] WHEN kind = 'u' THEN [{'c': u.c + cut, 'a': 'K' || u.a}] ELSE [] END) AS fy,
+                list_min([{'c': u.c + 3, 'a': 'D' || u.a}] || CASE WHEN gone THEN [] ELSE [{'c': a.c + 2 + cut, 'a': 'R' || a.a}] END
+                    || CASE WHEN gone THEN [] WHEN kind = 'a' THEN [{'c': a.c + cut, 'a': 'K' || a.a}] ELSE [] END) AS fu,
+                list_min([{'c': a.c + 3, 'a': 'D' || a.a}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + cut, 'a': 'R' || u.a}] END
+                    || CASE WHEN gone THEN [] WHEN kind = 'u' THEN [{'c': u.c + cut, 'a': 'K' || u.a}] ELSE [] END) AS fa
+            FROM back b JOIN (SELECT *, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::INT AS cut FROM marked) m
+            ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.pos = b.pos
+        )
+    )
+), audits AS (SELECT conv_id, s.c AS cost, s.a AS audit FROM back WHERE pos = 0
+), edits AS (
+    SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS step FROM audits WHERE audit <> ''
+), numbered AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w AS place
+    FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY step)
+), placed AS (
+    SELECT e.conv_id, e.edit, e.place, m.role, m.text FROM numbered e LEFT JOIN marked m ON e.edit <> 'I' AND m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.pos = e.pos
+    WHERE e.edit <> 'D'
+), starts AS (SELECT conv_id, max(place) FILTER (edit = 'K' AND role[1] = 's' AND place = 1) AS system FROM placed GROUP BY conv_id
+), final AS (
+    SELECT p.conv_id, string_agg((CASE WHEN p.edit = 'K' THEN p.role WHEN (p.place - coalesce(s.system, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END)
+               || ':' || coalesce(p.text, ''), chr(10) ORDER BY p.place) AS repaired
+    FROM placed p JOIN starts s ON s.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY p.conv_id
+)
+SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(a.cost, 0)::BIGINT AS cost,
+       coalesce(a.audit, '') AS audit, sha256(coalesce(f.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM source) i LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
