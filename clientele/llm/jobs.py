@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, conversation_repair, decontaminate, html_text, language, line_dedup, minhash, pii, quality, sharding, training_order
+from clientele.llm import bpe, conversation_repair, decontaminate, html_text, language, lexical_search, line_dedup, minhash, pii, quality, sharding, training_order
 from clientele.llm.inputs import table, whole
 from clientele.session import new_path
 
@@ -79,3 +79,8 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations")
     return conversation_repair.repair_report(conversation_repair.damage(rows), rows.select("conv_id"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)

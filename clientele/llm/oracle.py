@@ -163,3 +163,29 @@ SELECT i.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIG
 FROM (SELECT DISTINCT conv_id FROM source) i LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
 LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN final f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
 """
+
+# Every document that shares a term with an item, scored in full.
+ORACLE["op11_lexical_search"] = r"""
+WITH doc_terms AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), item_terms AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (SELECT item_id, term, count(*) AS repeats FROM item_terms GROUP BY ALL
+), totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS all_terms FROM doc_terms
+), postings AS (
+    SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM doc_terms)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings, totals GROUP BY term
+), impacts AS (
+    SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // all_terms))) AS impact
+    FROM postings JOIN weights USING (term), totals
+), scored AS (
+    SELECT item_id, row, doc_id, sum(repeats * impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
