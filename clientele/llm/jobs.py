@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, conversation_repair, decontaminate, html_text, language, lexical_search, line_dedup, minhash, pii, quality, sharding, training_order
+from clientele.llm import bpe, conversation_repair, decontaminate, html_text, language, lexical_search, line_dedup, minhash, pii, quality, quality_classifier, sharding, training_order
 from clientele.llm.inputs import table, whole
 from clientele.session import new_path
 
@@ -84,3 +84,8 @@ def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
