@@ -10,7 +10,7 @@ right token lives until its own merge, so a cross merge happens only while both
 Texts are split as the vocabulary file says (special tokens, lower case, words), whole texts at a
 time. Cases with a defined result: null and empty texts and texts of white space have no ids and
 decode to the empty text; rows repeat as often as they come; an empty table gives an empty table;
-other columns are not read. Caches are bounded, so a worker's memory does not follow the corpus.
+other columns are not read. Caches are bounded in bytes, so a worker's memory follows neither the corpus nor the length of its words.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from clientele.llm.inputs import pieces, texts
 
 #: Stands for the end of a word inside a token; no byte is written with it.
 END = ""
-#: Texts of these characters alone are lower-cased and split here; the tokenizers library does it for others.
-UNUSUAL = re.compile("[^\x00-ſ]")
+#: Texts without these characters are lower-cased and split here; the tokenizers library does it for others.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-ſ]")
 CACHED = 120_000
-#: Words whose packed ids are remembered; such an entry takes less than half the room.
-PACKED = 500_000
+#: Bytes that each half of a cache may take; the words of usual texts and of others have one each.
+CACHE_BYTES = 64 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,21 +46,43 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def usual_words(word: regex.Pattern) -> Callable[[str], list[str]]:
+    """``word.findall`` for texts of usual characters, by the faster standard library: its classes are written out."""
+    pattern = word.pattern
+    usual = [chr(c) for c in range(0x180) if not UNUSUAL.match(chr(c))]
+    # lower case turns one of them into a letter and a mark of its own, which is in no class
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(name, "".join(re.escape(c) for c in usual if regex.match(name, c)))
+    if "\\p" in pattern.replace("\\\\", ""):
+        raise ValueError(f"cannot read the pattern {word.pattern!r}")
+    return re.compile(pattern.replace("[[", "[").replace("]]", "]")).findall
+
+
+def held(key: str | bytes, value: bytes | int | tuple) -> int:
+    """About the bytes that a cache entry takes: two objects, what they hold, and the places in the table."""
+    return 200 + len(key) + (len(value) if isinstance(value, bytes) else sum(len(x) for x in value if isinstance(x, str)) if isinstance(value, tuple) else 0)
+
+
 class Recent(dict):
-    """What ``make`` returns, by key; holds at most twice ``size`` entries, the newer and the older half."""
+    """What ``make`` returns, by key, in a newer and an older half; a half holds about ``most`` bytes at most."""
 
-    def __init__(self, make: Callable, size: int = CACHED) -> None:
+    def __init__(self, make: Callable, most: int = CACHE_BYTES) -> None:
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.most, self.bytes, self.old = make, most, 0, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= self.size:
+        taken = held(key, found)
+        if 2 * taken > self.most:  # a giant stays outside
+            return found
+        if self.bytes + taken > self.most:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
         self[key] = found
+        self.bytes += taken
         return found
 
 
@@ -152,11 +174,12 @@ class Encoder:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.usual_word = usual_words(self.word)
         self.letters = byte_letters()
         self.of_word = Recent(self._word)
         self.of_letters = Recent(self._letters)
         self.two_bytes = {t: i.to_bytes(2, "little") for t, i in self.vocabulary.ids.items() if i < 1 << 16}
-        self.packed_word = Recent(self._packed_word, PACKED)
+        self.packed_word = Recent(self._packed_word)
         self.packed_letters = Recent(self._packed_letters)
 
     def _letters(self, word: str) -> tuple[int, str, str]:
@@ -165,14 +188,18 @@ class Encoder:
         ids = [self.vocabulary.ids[t] for t in tokens]
         return len(ids), " ".join(map(str, ids)), " ".join([self.vocabulary.names[i] for i in ids])
 
+    def _written(self, word: str) -> str:
+        """A word in byte letters."""
+        return word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
     def _word(self, word: str) -> tuple[int, str, str]:
-        return self._letters(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return self._letters(self._written(word))
 
     def _packed_letters(self, word: str) -> bytes:
         return b"".join([self.two_bytes[t] for t in self.vocabulary.tokens(word)])
 
     def _packed_word(self, word: str) -> bytes:
-        return self._packed_letters(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return self._packed_letters(self._written(word))
 
     def _walk(self, text: str, of_word: Recent, of_letters: Recent, of_special: Callable) -> list:
         """What the caches give for every word and special token of a whole text, in order."""
@@ -182,7 +209,7 @@ class Encoder:
                 out += [of_special(part)] if k % 2 else self._walk(part, of_word, of_letters, of_special)
             return out
         if not UNUSUAL.search(text):
-            return [of_word[w] for w in self.word.findall(text.lower())]
+            return [of_word[w] for w in self.usual_word(text.lower())]
         out = []
         for line in text.split("\n"):
             if UNUSUAL.search(line):
@@ -192,7 +219,7 @@ class Encoder:
         return out
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """What ``_letters`` gives for every word and special token of a whole text, in order."""
+        """Number of tokens, ids and names of every word and special token of a whole text, in order."""
         return self._walk(text, self.of_word, self.of_letters, lambda part: (1, str(self.special[part]), part))
 
     def packed(self, text: str) -> bytes:

@@ -57,7 +57,7 @@ _random = np.random.default_rng(7)
 _ODD = _random.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDERS = np.array([_random.permutation(BINS) for _ in range(BINS)])
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], np.uint64)
-_word_hash = Recent(xxhash.xxh3_64_intdigest, 50_000)
+_word_hash = Recent(xxhash.xxh3_64_intdigest, 12 << 20)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,6 @@ is fixed once written.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +30,12 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from clientele.llm.bpe import encoder, read_vocabulary
 from clientele.llm.inputs import pieces, texts
-from clientele.session import stage
+from clientele.session import new_path
 
 LENGTH = 512
-SHARD_SEQUENCES = 8192
+#: 67 MB with the stride below, so 100 TB of records are about 1.5 million files.
+SHARD_SEQUENCES = 1 << 16
+PARTITIONS = 100_000
 ROUNDS = 6
 KEY = 0x5EED0F7A1D3C
 END = b"\n"
@@ -56,13 +57,14 @@ def tokenise(df: DataFrame, vocabulary: str, length: int = LENGTH, padding: int
         for batch in pieces(batches, 2 << 20):
             rows, parts, counts, data = [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.frombuffer(own.packed(text or ""), "<u2")
-                for part in range(-(-len(ids) // length)):
-                    some = ids[part * length : (part + 1) * length]
-                    rows.append(row)
-                    parts.append(part)
-                    counts.append(len(some))
-                    data.append(np.append(some, np.full(length - len(some), padding, "<u2")).tobytes())
+                ids = own.packed(text or "")
+                full, rest = divmod(len(ids) // 2, length)
+                sequences = full + (rest > 0)
+                ids = ids.ljust(2 * length * sequences, b"\0") if padding == 0 else ids + padding.to_bytes(2, "little") * (length * sequences - len(ids) // 2)
+                rows += [row] * sequences
+                parts += range(sequences)
+                counts += [length] * full + [rest] * (rest > 0)
+                data += [ids[k : k + 2 * length] for k in range(0, len(ids), 2 * length)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "part": pa.array(parts, pa.int32()),
                 "n_tokens": pa.array(counts, pa.int32()), "ids": pa.array(data, pa.binary()),
@@ -106,8 +108,9 @@ def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
 
 def placed(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
     """``shard, place, slot, doc_id, part, n_tokens, ids`` of every sequence; staged, so it can be read again."""
-    staged = stage(tokenise(df, vocabulary, length, **options), "sequences")
-    rows, total = numbered(staged)
+    sequences, path = tokenise(df, vocabulary, length, **options), new_path(df.sparkSession, "sequences")
+    sequences.write.option("compression", "zstd").parquet(path)
+    rows, total = numbered(df.sparkSession.read.schema(sequences.schema).parquet(path))
 
     # only the index goes to Python; the ids stay where they are
     @F.pandas_udf("long")
@@ -122,7 +125,15 @@ def placed(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences
 
 def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
     """``placed``, range-partitioned by shard and sorted by slot."""
-    return placed(df, vocabulary, length, shard_sequences, key, **options).repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    return by_shard(placed(df, vocabulary, length, shard_sequences, key, **options))
+
+
+def by_shard(rows: DataFrame) -> DataFrame:
+    """Rows with ``shard`` and ``slot`` in range partitions of whole shards, sorted; shards have equal sizes, so the ranges are known without a sample."""
+    shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
+    partitions = min(shards, PARTITIONS)
+    part = F.expr(f"cast(shard * {partitions}L div {shards}L as int)")
+    return rows.repartitionById(partitions, part).sortWithinPartitions("shard", "slot")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
@@ -140,22 +151,12 @@ def written_records(spark: SparkSession, path: str, length: int = LENGTH, shard_
     if "shard" not in files.columns:  # nothing was written
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, ids_crc32 long")
     size = stride(length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
-                data = content.as_buffer()
-                if data.size % size:
-                    raise ValueError(f"shard {shard} is not a whole number of records")
-                at = np.arange(data.size // size, dtype=np.int64)
-                view = memoryview(data)
-                sums = [zlib.crc32(view[k : k + 2 * length]) for k in (at * size).tolist()]
-                yield pa.RecordBatch.from_pydict({
-                    "slot": pa.array(at + shard * shard_sequences), "shard": pa.array(np.full(len(at), shard, np.int32)),
-                    "byte_offset": pa.array(at * size), "ids_crc32": pa.array(sums, pa.int64()),
-                })
-
-    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, ids_crc32 long")
+    whole = F.raise_error(F.format_string("shard %d is not a whole number of records", F.col("shard")))
+    records = F.when(F.col("length") % size == 0, F.expr(f"cast(length div {size} as int)")).otherwise(whole.cast("int"))
+    crcs = F.transform(F.sequence(F.lit(0), records - 1), lambda k: F.crc32(F.substring("content", k * size + 1, F.lit(2 * length))))
+    found = files.select("shard", F.posexplode(F.when(records > 0, crcs)).alias("place", "ids_crc32"))
+    place = F.col("place").cast("long")
+    return found.select((F.col("shard").cast("long") * shard_sequences + place).alias("slot"), F.col("shard").cast("int").alias("shard"), (place * size).alias("byte_offset"), "ids_crc32")
 
 
 def written(df: DataFrame, vocabulary: str, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
@@ -164,7 +165,7 @@ def written(df: DataFrame, vocabulary: str, path: str, length: int = LENGTH, sha
     A sequence without a record would have nulls.
     """
     rows = placed(df, vocabulary, length, shard_sequences, key, **options)
-    write_shards(rows.repartitionByRange("shard").sortWithinPartitions("shard", "slot"), path)
+    write_shards(by_shard(rows), path)
     return rows.select("slot", "doc_id", "part", "n_tokens").join(written_records(df.sparkSession, path, length, shard_sequences), "slot", "left")
 
 

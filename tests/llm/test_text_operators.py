@@ -319,9 +319,12 @@ def test_ids_and_text_equal_the_library(spark):
 
 
 def test_cache_stays_bounded():
-    seen = bpe.Recent(lambda k: k * 2, size=10)
-    assert [seen[k] for k in [*range(100), 99, 5]] == [2 * k for k in [*range(100), 99, 5]]
-    assert len(seen) <= 10 and len(seen.old) <= 10
+    seen = bpe.Recent(lambda k: k.encode(), most=3000)
+    keys = [f"k{k}" for k in [*range(100), 99, 5]]
+    assert [seen[k] for k in keys] == [k.encode() for k in keys]
+    assert 2 < len(seen) + len(seen.old) <= 28
+    long = "x" * 2000
+    assert seen[long] == long.encode() and long not in seen and long not in seen.old
 
 
 # --- near copies
