@@ -9,7 +9,7 @@ the tags seen since the line before. Scripts, styles, drawings and controls have
 What counts is decided when the page has been read. The characters per tag of all lines, smoothed by a Gaussian,
 are cut at their standard deviation; lines above are clusters. A zone that is aside counts after all if it wraps
 the content: a form, a header or a notice around an article or a main element, or, on a page that has neither of them elsewhere,
-any zone but comments with most of the clustered text. Of the content elements that count, the one that holds most of the clusters
+any zone put aside by a word, but no comments, with most of the other clustered text. Of the content elements that count, the one that holds most of the clusters
 is the region, together with its siblings of the same kind that hold one or a twentieth of its text; all its text counts then, short lines too.
 On a page without such an element the region is the clustered lines and the lines between.
 
@@ -48,7 +48,7 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 #: Elements whose text is never read, and elements that are aside.
 SKIPPED = frozenset("head script style noscript template iframe object svg canvas audio video select button textarea title".split())
 ASIDE = frozenset("nav aside footer menu dialog".split())
-#: Words that put an element aside; as ``WRAPS`` unless an article is inside, as ``REMARKS`` in any case.
+#: Words that put an element aside; as ``WRAPS`` unless an article is inside, as ``REMARKS`` in any case, like the elements of ``ASIDE``.
 WRAPS = frozenset("alert consent modal notice notification overlay paywall search share sharing social subscribe subscription toolbar".split())
 REMARKS = frozenset("comment comments discussion disqus replies reply respond".split())
 ASIDE_WORDS = frozenset(
@@ -78,7 +78,7 @@ class Line:
 
 
 class Zone:
-    """Where text lies: ``kind`` is page, content (with a rank), aside, wraps, remarks, or header."""
+    """Where text lies: ``kind`` is page, content (with a rank), aside, wraps, header, or never."""
 
     __slots__ = ("parent", "kind", "rank")
 
@@ -126,9 +126,9 @@ class Lines(HTMLParser):
                 content.update(WORDS.findall(value.lower()))
         landmark = tag in ("html", "body", "article", "main")
         kind, rank = "", 0
-        if names & REMARKS and not tag == "main" and tag not in ("html", "body"):
-            kind = "remarks"
-        elif tag in ASIDE or (names & ASIDE_WORDS and not landmark):
+        if tag in ASIDE or (names & REMARKS and tag not in ("html", "body", "main")):
+            kind = "never"
+        elif names & ASIDE_WORDS and not landmark:
             kind = "aside"
         elif tag == "form" or (names & WRAPS and not landmark):
             kind = "wraps"
@@ -259,12 +259,12 @@ def counted_zones(zones: list[Zone], lines: list[Line], content: list[bool]) ->
 
     found = reached()
     if not any(zones[z].rank >= 2 and mass[z] > 0 for z in found):
-        remarks = [False] * len(zones)
+        never = [False] * len(zones)
         for z in range(1, len(zones)):
-            remarks[z] = zones[z].kind == "remarks" or remarks[zones[z].parent]
-        said = sum(mass[z] for z in range(1, len(zones)) if zones[z].kind == "remarks" and not remarks[zones[z].parent])
+            never[z] = zones[z].kind == "never" or never[zones[z].parent]
+        other = mass[0] - sum(mass[z] for z in range(1, len(zones)) if never[z] and not never[zones[z].parent])
         for z in range(1, len(zones)):
-            if not remarks[z] and not on[z] and 2 * mass[z] > mass[0] - said:
+            if not never[z] and not on[z] and 2 * mass[z] > other:
                 on[z] = True
         found = reached()
     return found
