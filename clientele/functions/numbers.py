@@ -11,11 +11,13 @@ AMOUNT = "decimal(22,6)"
 def safe_bigint(c: Column) -> Column:
     """Integer id from text; anything that is not a whole number becomes null.
 
-    The direct cast keeps ids beyond 2**53; the detour over double accepts '12.0'.
+    Plain digits, also with a point and zeros behind them, are cast as they are, which keeps ids beyond 2**53
+    and fails for no row (a cast that fails costs an exception). Other spellings take the detour over double.
     """
     as_double = c.try_cast("double")
     whole = F.when(as_double == F.floor(as_double), as_double.try_cast("bigint"))
-    return F.coalesce(c.try_cast("bigint"), whole)
+    plain = F.when(c.rlike(r"^[+-]?\d{1,18}$"), c.cast("bigint")).when(c.rlike(r"^[+-]?\d{1,18}\.0*$"), F.substring_index(c, ".", 1).cast("bigint"))
+    return plain.when(c.rlike(r"\d"), F.coalesce(c.try_cast("bigint"), whole))
 
 
 def exact_sum(c: Column, kind: str = AMOUNT) -> Column:

@@ -1,70 +1,87 @@
-"""Exact interpolated quantiles without gathering the values in one task."""
+"""Exact interpolated quantiles without shuffling the values, or gathering them in one task."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from clientele.session import stage
+#: Ranges that the sketch cuts the values of a column into; a wanted rank's range holds about that share of them.
+RANGES = 1000
+ACCURACY = 10 * RANGES
 
-ROWS_PER_PART = 200_000
 
-
-def _interpolate(low: Column, high: Column, position: Column) -> Column:
+def _interpolate(low: float, high: float, position: float) -> float:
     """Linear interpolation between two neighbouring ranks, in the order of Spark's ``percentile``."""
-    below = F.floor(position)
-    mixed = (below + 1 - position) * low + (position - below) * high
-    return F.when((position == below) | (low == high), low).otherwise(mixed)
+    below = math.floor(position)
+    return low if position == below or low == high else (below + 1 - position) * low + (position - below) * high
+
+
+def _ranged(df: DataFrame, cols: Sequence[str], ranges: int) -> DataFrame:
+    """``feature, value, range, w``: every value that is not null with the range it falls into, ranges in rising order.
+
+    The cuts come from mergeable sketches, one pass for all columns. They need not be exact: they only say where
+    values are counted.
+    """
+    probs = [k / ranges for k in range(1, ranges)]
+    sketches = df.agg(*[F.percentile_approx(c, probs, max(ACCURACY, 10 * ranges)).alias(c) for c in cols]).first() if probs else {}
+    splits = []
+    for c in cols:
+        cuts = {x + 0.0 for x in (sketches[c] if probs else None) or () if math.isfinite(x)}
+        splits.append([-math.inf, *sorted(cuts or {0.0}), math.inf])
+    names = [f"_range{k}" for k in range(len(cols))]
+    placed = Bucketizer(inputCols=list(cols), outputCols=names, splitsArray=splits, handleInvalid="keep").transform(df)
+    each = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(n).cast("int").alias("range")) for c, n in zip(cols, names)]
+    return placed.select(F.inline(F.array(*each)), "w").filter(F.col("value").isNotNull())
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None, parts: int | None = None
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], weight: str | None = None, ranges: int | None = None
 ) -> DataFrame:
     """One row with an array of quantiles per column, nulls ignored; to the last bit those of ``percentile``.
 
     ``weight`` repeats a row that many times without writing it out. One way for every
-    size: equal values are counted (combined before the shuffle, so heavy ties cost
-    nothing) and laid out in ranges of values, ``ROWS_PER_PART`` of them or fewer on
-    average; the size of each part says which parts hold a wanted rank, and only in
-    those the values are numbered. Parts grow in number with the data, not in size.
+    size: sketches cut each column into ranges, one exact pass counts the rows of every range (a
+    thousand numbers a column), and only the values of the ranges that hold a wanted rank are
+    counted by value, equal ones combined before their shuffle, and numbered. ``df`` is read three times and should be staged.
     """
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    if parts is None:
-        parts = max(1, -(-df.count() * len(cols) // ROWS_PER_PART))
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]
-    values = df.select(F.inline(F.array(*pairs)), w.alias("_w")).filter(F.col("value").isNotNull())
-    counts = values.groupBy("feature", "value").agg(F.sum("_w").alias("size"))
-    placed = counts.repartitionByRange(parts, "feature", "value").withColumn("part", F.spark_partition_id())
-    counts = stage(placed, "value_counts")
-
-    by_feature = Window.partitionBy("feature")
-    sizes = counts.groupBy("feature", "part").agg(F.sum("size").alias("size"))
-    sizes = sizes.withColumn("n", F.sum("size").over(by_feature)).withColumn(
-        "before", F.sum("size").over(by_feature.orderBy("part")) - F.col("size")
-    )
-    wanted = (
-        sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("position", F.col("prob") * (F.col("n") - 1))
-        .withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("rank", F.least(F.floor("position") + F.col("end"), F.col("n") - 1) - F.col("before"))
-        .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("size")))
-        .select("feature", "part", "prob", "position", "end", "rank")
-    )
-    # two rows per quantile, so both broadcasts have a fixed size
-    parts_wanted = F.broadcast(wanted.select("feature", "part").distinct())
-    running = F.sum("size").over(Window.partitionBy("feature", "part").orderBy("value"))
-    numbered = counts.join(parts_wanted, ["feature", "part"], "left_semi").withColumn("upto", running)
-    ends = numbered.withColumn("from", F.col("upto") - F.col("size")).drop("size").join(F.broadcast(wanted), ["feature", "part"])
-    ends = ends.filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("upto")))
-    per_prob = ends.groupBy("feature", "prob").agg(
-        F.first("position").alias("position"),
-        F.max(F.when(F.col("end") == 0, F.col("value"))).alias("low"),
-        F.max(F.when(F.col("end") == 1, F.col("value"))).alias("high"),
-    )
-    quantile = F.struct("prob", _interpolate(F.col("low"), F.col("high"), F.col("position")).alias("q"))
-    arrays = [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("feature") == c, quantile))), lambda s: s["q"]).alias(c)
-        for c in cols
-    ]
-    return per_prob.agg(*arrays)
+    spark = df.sparkSession
+    w: Column = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols], w.alias("w"))
+    ranged = _ranged(values, cols, ranges or RANGES)
+
+    sizes: dict[str, dict[int, int]] = {c: {} for c in cols}
+    for r in ranged.groupBy("feature", "range").agg(F.sum("w").alias("n")).collect():
+        sizes[r.feature][r.range] = r.n
+    positions: dict[str, list[float]] = {}
+    wanted: list[tuple[str, int, int, int]] = []  # feature, range, rank in it, rank among all
+    for c in cols:
+        n = sum(sizes[c].values())
+        positions[c] = [p * (n - 1) for p in probs] if n else []
+        for rank in sorted({min(math.floor(p) + end, n - 1) for p in positions[c] for end in (0, 1)}):
+            before = 0
+            for part in sorted(sizes[c]):
+                if rank < before + sizes[c][part]:
+                    wanted.append((c, part, rank - before, rank))
+                    break
+                before += sizes[c][part]
+
+    found: dict[tuple[str, int], float] = {}
+    if wanted:
+        parts = F.broadcast(spark.createDataFrame(sorted({x[:2] for x in wanted}), "feature string, range int"))
+        counts = ranged.join(parts, ["feature", "range"]).groupBy("feature", "range", "value").agg(F.sum("w").alias("size"))
+        running = F.sum("size").over(Window.partitionBy("feature", "range").orderBy("value"))
+        numbered = counts.withColumn("upto", running).withColumn("from", F.col("upto") - F.col("size"))
+        ranks = F.broadcast(spark.createDataFrame(wanted, "feature string, range int, place long, rank long"))
+        at = numbered.join(ranks, ["feature", "range"]).filter((F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto")))
+        found = {(r.feature, r.rank): r.value for r in at.select("feature", "rank", "value").collect()}
+
+    def quantile(c: str, position: float) -> float:
+        low = math.floor(position)
+        return _interpolate(found[c, low], found[c, min(low + 1, sum(sizes[c].values()) - 1)], position)
+
+    row = [[quantile(c, p) for p in positions[c]] or None for c in cols]
+    return spark.createDataFrame([row], StructType([StructField(c, ArrayType(DoubleType())) for c in cols]))

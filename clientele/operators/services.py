@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import LineColumns, TicketColumns
 from clientele.operators.joins import with_group_values
@@ -19,21 +19,27 @@ def _ticket_days(lines: DataFrame, tickets: DataFrame, cols: LineColumns, ticket
     """One row per client, ticket and bill date with the services of the whole ticket.
 
     Days on which a ticket has no service line carry 0: they make the period count,
-    but add nothing to it. A ticket has few dates, so the window is small.
+    but add nothing to it. The lines are combined per ticket to one count and two sets of dates,
+    before their only shuffle, so a ticket with very many lines is as small as its dates.
     """
-    per_day = (
+    is_service = F.col(cols.kind) == cols.service_kind
+    per_ticket = (
         lines.filter(F.col(cols.ticket).isNotNull())
-        .groupBy(cols.ticket, cols.date)
-        .agg(F.count_if(F.col(cols.kind) == cols.service_kind).alias("_day_services"))
+        .groupBy(cols.ticket)
+        .agg(
+            F.count_if(is_service).alias("_services"),
+            F.collect_set(cols.date).alias("_days"),
+            F.collect_set(F.when(is_service, F.col(cols.date))).alias("_service_days"),
+        )
     )
-    whole_ticket = F.sum("_day_services").over(Window.partitionBy(cols.ticket))
-    per_day = per_day.withColumn("NumServices", F.when(F.col("_day_services") > 0, whole_ticket).otherwise(F.lit(0)))
     owners = (
         tickets.filter(F.col(ticket_cols.ticket).isNotNull() & F.col(ticket_cols.client).isNotNull())
         .select(F.col(ticket_cols.ticket).alias(cols.ticket), ticket_cols.client)
         .distinct()
     )
-    return per_day.filter(F.col(cols.date).isNotNull()).join(owners, cols.ticket)
+    served = F.when(F.array_contains("_service_days", F.col(cols.date)), F.col("_services")).otherwise(F.lit(0))
+    per_day = per_ticket.select("*", F.explode("_days").alias(cols.date)).select(cols.ticket, cols.date, served.alias("NumServices"))
+    return per_day.join(owners, cols.ticket)
 
 
 def _per_period(days: DataFrame, client: str, period: Column, name: str) -> DataFrame:
@@ -60,19 +66,14 @@ def client_service_avgs(
 ) -> DataFrame:
     """Mean services per observed year and per observed month of the year.
 
-    Both means are the client's total over a number of periods, so one pass gives
-    both: per (client, year) a sum and a bit mask of months, then per client. Each
+    Both means are the client's total over a number of periods, so one aggregation gives
+    both: the sum, the few distinct years and a bit mask of months. Each
     dated day has a year and a month, which makes the two sides of the outer join
     the same set of clients.
     """
-    client = ticket_cols.client
     days = _ticket_days(lines, tickets, cols, ticket_cols)
-    per_year = days.groupBy(client, F.year(cols.date).alias("year")).agg(
-        F.sum("NumServices").alias("services"),
-        F.bit_or(F.expr(f"shiftleft(1, month({cols.date}))")).alias("months"),
-    )
-    total = F.sum("services").cast("double")
-    return per_year.groupBy(client).agg(
-        (total / F.count("*")).alias("avg_yrly_services"),
-        (total / F.bit_count(F.bit_or("months"))).alias("avg_mnthly_services"),
+    total = F.sum("NumServices").cast("double")
+    return days.groupBy(ticket_cols.client).agg(
+        (total / F.size(F.collect_set(F.year(cols.date)))).alias("avg_yrly_services"),
+        (total / F.bit_count(F.bit_or(F.expr(f"shiftleft(1, month({cols.date}))")))).alias("avg_mnthly_services"),
     )

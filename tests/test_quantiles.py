@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
+from clientele.operators import quantiles
 from clientele.operators.quantiles import exact_quantiles
 
 PROBS = [0.2, 0.4, 0.6, 0.8]
@@ -60,3 +61,13 @@ def test_one_value_holds_most_rows(spark):
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60), st.integers(2, 12))
 def test_any_integers(spark, data, parts):
     check(spark, {"a": [float(x) for x in data]}, parts)
+
+
+def test_only_a_small_share_of_the_values_is_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=100_000), "b": rng.normal(size=100_000)}))
+    ranged = quantiles._ranged(df.withColumn("w", F.lit(1)), ["a", "b"], quantiles.RANGES)
+    sizes = ranged.groupBy("feature", "range").count().collect()
+    assert sum(r["count"] for r in sizes) == 200_000
+    # at most two ranges a rank: eight of a thousand
+    assert max(r["count"] for r in sizes) <= 3 * 100_000 / quantiles.RANGES
