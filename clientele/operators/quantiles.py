@@ -6,12 +6,11 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Ranges that the sketch cuts the values of a column into; a wanted rank's range holds about that share of them.
-RANGES = 1000
-ACCURACY = 10 * RANGES
+RANGES = 128
+ACCURACY = 8 * RANGES
 
 
 def _interpolate(low: float, high: float, position: float) -> float:
@@ -20,6 +19,11 @@ def _interpolate(low: float, high: float, position: float) -> float:
     return low if position == below or low == high else (below + 1 - position) * low + (position - below) * high
 
 
+def _literal(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows as literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in rows])))
+
+
 def _ranged(df: DataFrame, cols: Sequence[str], ranges: int) -> DataFrame:
     """``feature, value, range, w``: every value that is not null with the range it falls into, ranges in rising order.
 
@@ -27,7 +31,7 @@ def _ranged(df: DataFrame, cols: Sequence[str], ranges: int) -> DataFrame:
     values are counted.
     """
     probs = [k / ranges for k in range(1, ranges)]
-    sketches = df.agg(*[F.percentile_approx(c, probs, max(ACCURACY, 10 * ranges)).alias(c) for c in cols]).first() if probs else {}
+    sketches = df.agg(*[F.percentile_approx(c, probs, max(ACCURACY, 8 * ranges)).alias(c) for c in cols]).first() if probs else {}
     splits = []
     for c in cols:
         cuts = {x + 0.0 for x in (sketches[c] if probs else None) or () if math.isfinite(x)}
@@ -45,7 +49,7 @@ def exact_quantiles(
 
     ``weight`` repeats a row that many times without writing it out. One way for every
     size: sketches cut each column into ranges, one exact pass counts the rows of every range (a
-    thousand numbers a column), and only the values of the ranges that hold a wanted rank are
+    hundred numbers a column), and only the values of the ranges that hold a wanted rank are
     counted by value, equal ones combined before their shuffle, and numbered. ``df`` is read three times and should be staged.
     """
     spark = df.sparkSession
@@ -71,11 +75,11 @@ def exact_quantiles(
 
     found: dict[tuple[str, int], float] = {}
     if wanted:
-        parts = F.broadcast(spark.createDataFrame(sorted({x[:2] for x in wanted}), "feature string, range int"))
+        parts = F.broadcast(_literal(spark, sorted({x[:2] for x in wanted}), ["feature", "range"]))
         counts = ranged.join(parts, ["feature", "range"]).groupBy("feature", "range", "value").agg(F.sum("w").alias("size"))
         running = F.sum("size").over(Window.partitionBy("feature", "range").orderBy("value"))
         numbered = counts.withColumn("upto", running).withColumn("from", F.col("upto") - F.col("size"))
-        ranks = F.broadcast(spark.createDataFrame(wanted, "feature string, range int, place long, rank long"))
+        ranks = F.broadcast(_literal(spark, wanted, ["feature", "range", "place", "rank"]))
         at = numbered.join(ranks, ["feature", "range"]).filter((F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto")))
         found = {(r.feature, r.rank): r.value for r in at.select("feature", "rank", "value").collect()}
 
@@ -83,5 +87,5 @@ def exact_quantiles(
         low = math.floor(position)
         return _interpolate(found[c, low], found[c, min(low + 1, sum(sizes[c].values()) - 1)], position)
 
-    row = [[quantile(c, p) for p in positions[c]] or None for c in cols]
-    return spark.createDataFrame([row], StructType([StructField(c, ArrayType(DoubleType())) for c in cols]))
+    arrays = [F.array(*[F.lit(quantile(c, p)) for p in positions[c]]) if positions[c] else F.lit(None).cast("array<double>") for c in cols]
+    return spark.range(1).select(*[a.alias(c) for a, c in zip(arrays, cols)])

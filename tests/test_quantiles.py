@@ -69,5 +69,5 @@ def test_only_a_small_share_of_the_values_is_shuffled(spark, tmp_path):
     ranged = quantiles._ranged(df.withColumn("w", F.lit(1)), ["a", "b"], quantiles.RANGES)
     sizes = ranged.groupBy("feature", "range").count().collect()
     assert sum(r["count"] for r in sizes) == 200_000
-    # at most two ranges a rank: eight of a thousand
+    # at most two ranges a rank
     assert max(r["count"] for r in sizes) <= 3 * 100_000 / quantiles.RANGES
