@@ -19,6 +19,7 @@ is fixed once written.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from clientele.llm.inputs import pieces, texts
 from clientele.session import new_path
 
 LENGTH = 512
-#: 67 MB with the stride below, so 100 TB of records are about 1.5 million files.
-SHARD_SEQUENCES = 1 << 16
+#: 8 MB with the stride below, which a task holds when it reads a shard.
+SHARD_SEQUENCES = 8192
 PARTITIONS = 100_000
 ROUNDS = 6
 KEY = 0x5EED0F7A1D3C
@@ -151,12 +152,22 @@ def written_records(spark: SparkSession, path: str, length: int = LENGTH, shard_
     if "shard" not in files.columns:  # nothing was written
         return spark.createDataFrame([], "slot long, shard int, byte_offset long, ids_crc32 long")
     size = stride(length)
-    whole = F.raise_error(F.format_string("shard %d is not a whole number of records", F.col("shard")))
-    records = F.when(F.col("length") % size == 0, F.expr(f"cast(length div {size} as int)")).otherwise(whole.cast("int"))
-    crcs = F.transform(F.sequence(F.lit(0), records - 1), lambda k: F.crc32(F.substring("content", k * size + 1, F.lit(2 * length))))
-    found = files.select("shard", F.posexplode(F.when(records > 0, crcs)).alias("place", "ids_crc32"))
-    place = F.col("place").cast("long")
-    return found.select((F.col("shard").cast("long") * shard_sequences + place).alias("slot"), F.col("shard").cast("int").alias("shard"), (place * size).alias("byte_offset"), "ids_crc32")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content")):
+                data = content.as_buffer()
+                if data.size % size:
+                    raise ValueError(f"shard {shard} is not a whole number of records")
+                at = np.arange(data.size // size, dtype=np.int64)
+                view = memoryview(data)
+                sums = [zlib.crc32(view[k : k + 2 * length]) for k in (at * size).tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "slot": pa.array(at + shard * shard_sequences), "shard": pa.array(np.full(len(at), shard, np.int32)),
+                    "byte_offset": pa.array(at * size), "ids_crc32": pa.array(sums, pa.int64()),
+                })
+
+    return files.select("shard", "content").mapInArrow(run, "slot long, shard int, byte_offset long, ids_crc32 long")
 
 
 def written(df: DataFrame, vocabulary: str, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
