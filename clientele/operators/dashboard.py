@@ -61,6 +61,18 @@ def monthly_revenue(daily: DataFrame) -> DataFrame:
     )
 
 
+def revenue_levels(tickets: DataFrame, year: int, total: str = "Total", date: str = "Bill_Date") -> DataFrame:
+    """Revenue of one year by day, by month and as a whole, from one scan and one shuffle.
+
+    ``level`` says what a row sums; ``month_num`` is null for the year, ``Bill_Date`` for month and year.
+    """
+    day, month = F.to_date(date).alias("Bill_Date"), F.month(date).alias("month_num")
+    rows = tickets.filter(in_year(F.col(date), year)).select(day, month, F.col(total).alias("Total"))
+    levels = rows.groupingSets([["month_num", "Bill_Date"], ["month_num"], []], "month_num", "Bill_Date")
+    named = F.when(F.grouping_id() == 0, "day").when(F.grouping_id() == 1, "month").otherwise("year")
+    return levels.agg(named.alias("level"), exact_sum(F.col("Total")).alias("Total"))
+
+
 def best_day(daily: DataFrame) -> DataFrame:
     """The day with the highest revenue; the earliest one on a tie."""
     return daily.orderBy(F.desc("Total"), "Bill_Date").limit(1)

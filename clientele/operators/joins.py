@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.columns import BookingColumns, LineColumns, TicketColumns
 from clientele.functions.dates import parse_datetime
+from clientele.functions.rows import one_row
 from clientele.operators.cleaning import with_integer_ids
 
 #: Patterns of booking dates that are still text, in the order they are tried.
 DATES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+#: Tasks that rows with a null key are spread over.
+NULL_SALTS = 1024
 
 
 def lines_with_tickets(
@@ -33,6 +37,18 @@ def lines_with_tickets(
     return left.join(right, on, "left").drop("_ticket")
 
 
+def null_matches(
+    lines: DataFrame, tickets: DataFrame, line_cols: LineColumns = LineColumns(), ticket_cols: TicketColumns = TicketColumns()
+) -> DataFrame:
+    """What ``null_safe`` matching adds for rows without an id, as one class row: how many there are on either
+    side and how many pairs they make. The pairs themselves are every line with every ticket; none is built."""
+    left = lines.agg(F.count_if(F.col(line_cols.ticket).isNull()).alias("lines_without_id"))
+    right = tickets.agg(F.count_if(F.col(ticket_cols.ticket).isNull()).alias("tickets_without_id"))
+    found = left.withColumn("tickets_without_id", one_row(right)["tickets_without_id"])
+    pairs = F.col("lines_without_id").cast("decimal(38,0)") * F.greatest("tickets_without_id", F.lit(1)).cast("decimal(38,0)")
+    return found.withColumn("result_rows", pairs.cast("bigint"))
+
+
 def lines_of_clients(
     lines: DataFrame,
     tickets: DataFrame,
@@ -53,13 +69,17 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> D
 
     The aggregate is combined before its shuffle and joined back, so a hot key
     never gathers its rows in one window partition; the join is an ordinary one
-    that adaptive execution may broadcast or split.
+    that adaptive execution may broadcast or split. Rows with a null key match nothing;
+    a salt spreads them over ``NULL_SALTS`` tasks instead of the one of the null key.
     """
+    missing = reduce(Column.__or__, [F.col(key).isNull() for key in keys])
+    salt = F.when(missing, F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS)).cast("int")).otherwise(0)
     known = df
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
     per_group = known.groupBy(*keys).agg(*[c.alias(name) for name, c in values.items()])
-    return df.join(per_group, list(keys), "left").select(*df.columns, *values)
+    salted, groups = df.withColumn("_salt", salt), per_group.withColumn("_salt", F.lit(0))
+    return salted.join(groups, [*keys, "_salt"], "left").select(*df.columns, *values)
 
 
 def booking_service_chain(

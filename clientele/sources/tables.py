@@ -1,11 +1,13 @@
 """Readers with declared schemas, bound by column name.
 
 Columns whose exports mix types (ids, dates) are read as text and converted by the
-cleaning operators. Of a CSV only the header line is read beforehand; no types are inferred.
+cleaning operators. Of a CSV only the header lines are read beforehand; no types are inferred.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -31,9 +33,29 @@ def by_name(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
+def files_by_header(spark: SparkSession, path: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of ``path`` by their header line. Contents are not read; files without a line are left out."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.load(path).select("path").orderBy("path").collect():
+        header = tuple(spark.read.option("header", True).option("encoding", encoding).csv(row.path).columns)
+        if header:
+            found.setdefault(header, []).append(row.path)
+    return found
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """CSV with a header line, Latin-1 by default."""
-    return by_name(spark.read.option("header", True).option("encoding", encoding).csv(path), schema)
+    """CSV with a header line, Latin-1 by default; every file of a folder is bound by its own header.
+
+    Files of one header are read together, so there is one scan for each order of columns. Exports are few files:
+    the driver reads one line of each.
+    """
+    one = spark.read.option("header", True).option("encoding", encoding)
+    headers = files_by_header(spark, path, encoding)
+    if len(headers) <= 1:  # also a file with another ending, and a folder partitioned by its names
+        return by_name(one.csv(path), schema)
+    parts = [by_name(one.csv(files), schema) for _, files in sorted(headers.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:

@@ -68,6 +68,17 @@ def csv_latin1_roundtrip(v: Views) -> DataFrame:
     return tables.read_csv(v.spark, path, "ClientID string, FirstName string, Balance double")
 
 
+@query
+def csv_folder_by_header(v: Views) -> DataFrame:
+    """A folder of two exports whose columns come in different orders, one with a column more."""
+    path = new_path(v.spark, "clients")
+    text = v.table("customer").select(F.col("c_custkey").cast("string").alias("ClientID"), F.col("c_name").alias("FirstName"), F.col("c_acctbal").alias("Balance"))
+    even = F.col("ClientID").cast("bigint") % 2 == 0
+    exports.write_csv(text.filter(even), f"{path}/even")
+    exports.write_csv(text.filter(~even).select("Balance", F.lit("x").alias("Extra"), "ClientID", "FirstName"), f"{path}/odd")
+    return tables.read_csv(v.spark, path, "ClientID string, FirstName string, Balance double")
+
+
 @query
 def clean_tickets(v: Views) -> DataFrame:
     return cleaning.clean_tickets(v.tickets_raw(), BLOCKED)
@@ -123,6 +134,14 @@ def lines_left_tickets_null_safe(v: Views) -> DataFrame:
     return joins.lines_with_tickets(lines, tickets, null_safe=True)
 
 
+@query
+def null_ticket_matches(v: Views) -> DataFrame:
+    """The class row of the query before, without its pairs."""
+    tickets = cleaning.with_integer_ids(v.tickets_raw())
+    lines = v.lines().select(F.when(F.col("TicketID") % 5 != 0, F.col("TicketID")).alias("TicketID"))
+    return joins.null_matches(lines, tickets)
+
+
 @query
 def booking_service_chain(v: Views) -> DataFrame:
     chain = joins.booking_service_chain(v.booking_services(), v.bookings(), v.services(), v.categories())
@@ -186,6 +205,11 @@ def monthly_revenue(v: Views) -> DataFrame:
     return dashboard.monthly_revenue(dashboard.daily_revenue(_tickets(v), YEAR))
 
 
+@query
+def revenue_levels(v: Views) -> DataFrame:
+    return dashboard.revenue_levels(_tickets(v), YEAR)
+
+
 @query
 def best_day(v: Views) -> DataFrame:
     return dashboard.best_day(dashboard.daily_revenue(_tickets(v), YEAR))

@@ -379,6 +379,10 @@ FROM lines l LEFT JOIN tickets_ids t ON l.TicketID = t.TicketID""",
 SELECT l.TicketID, l.Type, l.Descr, l.Total AS line_total, t.ClientID, t.Total AS ticket_total
 FROM (SELECT * REPLACE (nullif(TicketID, 0) AS TicketID) FROM lines) l
 LEFT JOIN tickets_ids t ON l.TicketID IS NOT DISTINCT FROM t.TicketID""",
+    "null_ticket_matches": """
+SELECT l.n AS lines_without_id, t.n AS tickets_without_id, l.n * greatest(t.n, 1) AS result_rows
+FROM (SELECT count(*) AS n FROM lines WHERE TicketID % 5 = 0) l, (SELECT count(*) AS n FROM tickets_ids WHERE TicketID IS NULL) t""",
+    "csv_folder_by_header": "SELECT CAST(c_custkey AS VARCHAR) AS ClientID, c_name AS FirstName, c_acctbal AS Balance FROM customer",
     "booking_service_chain": "SELECT * FROM chain",
     "services_per_ticket": "SELECT TicketID, Type, Descr, Bill_Date, NumServices FROM counted",
     "services_per_year": "SELECT * FROM per_year",
@@ -399,6 +403,11 @@ SELECT (SELECT {_rupees(_money('Total'))} FROM tickets) AS total_sales,
        (SELECT format('{{:,}}', count(DISTINCT ClientID)) FROM tickets) AS total_customers""",
     "daily_revenue": "SELECT * FROM daily",
     "monthly_revenue": "SELECT * FROM monthly",
+    "revenue_levels": f"""
+SELECT month(Bill_Date) AS month_num, CAST(Bill_Date AS DATE) AS Bill_Date,
+       CASE grouping(month(Bill_Date), CAST(Bill_Date AS DATE)) WHEN 0 THEN 'day' WHEN 1 THEN 'month' ELSE 'year' END AS level, {_money('Total')} AS Total
+FROM tickets WHERE year(Bill_Date) = {YEAR}
+GROUP BY GROUPING SETS ((month(Bill_Date), CAST(Bill_Date AS DATE)), (month(Bill_Date)), ())""",
     "best_day": "SELECT * FROM daily ORDER BY Total DESC, Bill_Date LIMIT 1",
     "best_month": "SELECT Bill_Month, Total FROM monthly ORDER BY Total DESC, Bill_Month LIMIT 1",
     "revenue_summary": f"""

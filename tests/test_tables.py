@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientele.columns import LineColumns
+from clientele.functions import numbers
 from clientele.operators import cleaning, dashboard, joins, recommend, services
 from clientele.plans import prepare, recommender
 from clientele.sources import exports, tables
@@ -264,3 +265,40 @@ def test_client_dates_as_text(spark):
     clients = spark.createDataFrame([("a", "05-01-2023 10:00"), ("b", "2023-02-03 07:00:00"), ("c", "2023-02-04"), ("d", "soon")], "ClientID string, Create_Date string")
     read = {r.ClientID: r.Create_Date for r in cleaning.clean_clients(clients).collect()}
     assert read == {"a": dt.datetime(2023, 1, 5, 10), "b": dt.datetime(2023, 2, 3, 7), "c": dt.datetime(2023, 2, 4), "d": None}
+
+
+def test_each_file_of_a_folder_is_bound_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "clients"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("ClientID,FirstName\n1,Zoë\n".encode("latin-1"))
+    (folder / "b.csv").write_bytes(b"FirstName,Extra,ClientID\nBob,x,2\n")
+    (folder / "c.csv").write_bytes(b"ClientID,FirstName\n3,Ann\n")
+    found = tables.read_csv(spark, str(folder), "ClientID string, FirstName string")
+    assert sorted(tuple(r) for r in found.collect()) == [("1", "Zoë"), ("2", "Bob"), ("3", "Ann")]
+    (folder / "d.csv").write_bytes(b"FirstName\nno id\n")
+    with pytest.raises(ValueError, match="no column ClientID"):
+        tables.read_csv(spark, str(folder), "ClientID string, FirstName string")
+
+
+def test_a_million_null_rows_on_each_side_are_one_class_row(spark):
+    lines = spark.range(1_000_000).select(F.lit(None).cast("bigint").alias("TicketID"))
+    found = joins.null_matches(lines, lines.withColumn("Total", F.lit(1.0))).collect()
+    assert [tuple(r) for r in found] == [(1_000_000, 1_000_000, 10**12)]
+    alone = joins.null_matches(lines, lines.limit(0)).first()
+    assert tuple(alone) == (1_000_000, 0, 1_000_000)
+
+
+def test_rows_with_a_null_key_are_spread(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 != 0, F.col("id") % 50).alias("TicketID"), F.lit("S").alias("Type"))
+    found = joins.with_group_values(rows, ["TicketID"], n=F.count("*"))
+    assert found.columns == ["TicketID", "Type", "n"]
+    assert found.filter("TicketID IS NULL AND n IS NULL").count() == 10_000
+    salted = rows.select(F.when(F.col("TicketID").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(joins.NULL_SALTS))).alias("s")).filter("s IS NOT NULL")
+    assert salted.groupBy("s").count().agg(F.max("count")).first()[0] < 100
+    assert found.filter("TicketID = 7").select("n").distinct().collect()[0].n == rows.filter("TicketID = 7").count()
+
+
+@pytest.mark.parametrize("text,want", [("12", 12), ("12.0", 12), ("12.", 12), ("+7", 7), ("-7.00", -7), (" 12 ", 12), ("1e3", 1000), ("9007199254740993", 9007199254740993),
+                                       ("9223372036854775807", 9223372036854775807), ("99999999999999999999", None), ("12.5", None), ("Closed", None), ("", None), (None, None), ("12a", None), (".0", 0)])
+def test_ids_from_text(spark, text, want):
+    assert spark.createDataFrame([(text,)], "c string").select(numbers.safe_bigint(F.col("c"))).first()[0] == want
