@@ -8,6 +8,7 @@ from clientele.operators.joins import with_group_values
 from clientele.operators.similarity import (
     client_profiles,
     first_members,
+    offering_neighbours,
     service_scores,
     similar_to,
     top_neighbours,
@@ -128,8 +129,10 @@ def recommend_for(client, freq: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def clients_with_recommendations(scores: DataFrame) -> DataFrame:
-    return scores.select("client").distinct()
+def clients_with_recommendations(vectors: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """Clients for whom a similar client has a new service; nothing is scored."""
+    served = offering_neighbours(profiles, threshold).select(F.col("client").alias("profile"))
+    return client_profiles(vectors, profiles).join(served, "profile", "left_semi").select("client")
 
 
 def match_text(score: Column) -> Column:

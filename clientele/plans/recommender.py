@@ -64,6 +64,10 @@ class Recommender:
     def candidates(self, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
         return recommend.candidates(self.vectors, self.profiles, threshold)
 
+    def clients(self, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+        """Clients with at least one candidate."""
+        return recommend.clients_with_recommendations(self.vectors, self.profiles, threshold)
+
     def top(self, threshold: float = DEFAULT_THRESHOLD, n: int = recommend.TOP_SERVICES) -> DataFrame:
         """Best ``n`` new services per client, each service once."""
         return recommend.top_services(self.vectors, self.profiles, threshold, n)

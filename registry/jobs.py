@@ -608,7 +608,7 @@ def rec_scores(v: Views) -> DataFrame:
 
 @query
 def rec_clients(v: Views) -> DataFrame:
-    return recommend.clients_with_recommendations(_tickets_fit(v).candidates(THRESHOLD))
+    return _tickets_fit(v).clients(THRESHOLD)
 
 
 @query

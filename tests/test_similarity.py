@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clientele.operators import cosine_blocks, recommend, similarity
 from clientele.plans import recommender
@@ -172,6 +173,43 @@ def test_the_cheaper_way_is_taken(spark):
     assert by_service > together
 
 
+def test_blocks_that_cannot_be_similar_make_no_cell(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(2)
+    data = {}
+    for i in range(400):  # ten camps around a service each, all with some of one common service
+        camp, extra = f"s{i % 10}", f"x{int(rng.integers(0, 40))}"
+        data[f"c{i:03d}"] = {camp: int(rng.integers(20, 40)), "common": int(rng.integers(1, 4)), extra: int(rng.integers(1, 9))}
+    fitted = recommender.fit(frame(spark, data))
+    together = fitted.profiles.withColumn("group", F.lit(None).cast("string"))
+    placed = similarity.in_blocks(together, 25)
+    bounds = similarity.block_bounds(placed)
+    cells = similarity.block_cells(bounds, 0.75)
+    blocks = placed.select("block").distinct().count()
+    kept = cells.count()
+    assert blocks >= 20 and kept <= blocks * (blocks + 1) / 2 / 3
+    assert {tuple(r) for r in cells.filter("i = j").select("i").collect()} == {tuple(r) for r in placed.select("block").distinct().collect()}
+    pairs = {(r["client_a"], r["client_b"]): r["similarity"] for r in fitted.similar_pairs(0.75).collect()}
+    profile = {r["client"]: r["profile"] for r in fitted.membership().collect()}
+    want = {(a, b): s for (a, b), s in brute_pairs(data, 0.75).items() if profile[a] == a and profile[b] == b}
+    assert pairs == want
+
+
+def test_cells_are_packed_into_bounded_tasks(spark, monkeypatch):
+    baskets = sparse_baskets(seed=6)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
+    want = {tuple(r) for r in recommender.fit(frame(spark, baskets)).similar_pairs(0.5).collect()}
+    monkeypatch.setattr(similarity, "MAX_TASKS", 3)
+    found = recommender.fit(frame(spark, baskets)).similar_pairs(0.5)
+    assert found.rdd.getNumPartitions() <= 3
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_clients_with_candidates(case):
+    baskets, fitted = case
+    assert {r["client"] for r in fitted.clients(0.5).collect()} == set(brute_entries(baskets, 0.5))
+
+
 def test_known_cosines(spark):
     baskets = {"a": {"x": 1}, "b": {"x": 2}, "c": {"x": 1, "y": 1}}
     fitted = recommender.fit(frame(spark, baskets))
