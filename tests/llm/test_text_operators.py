@@ -244,6 +244,26 @@ def test_shards_obey_their_law(spark, tmp_path):
     assert written.count() == 800 and written.select("shard", "slot").distinct().count() == 800
 
 
+def test_shards_hold_every_record_whatever_its_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    # both texts have the checksum 1306201125, the same length and the same id
+    twins = [(1, "plumless"), (1, "buckeroo"), (None, "plumless"), (None, "buckeroo")]
+    assert len({zlib.crc32(t.encode()) for _, t in twins}) == 1
+    rows = twins + [(2, "again")] * 50 + [(None, None)] * 60 + [(k, f"text {k}") for k in range(10, 40)] + [(3, ""), (3, None), (4, "y" * 300000)]
+    for limit in (sharding.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", limit)
+        path = str(tmp_path / f"whole{limit}")
+        sharding.write_shards(documents(spark, rows), path, 5, bucket_rows=10)
+        written = spark.read.parquet(path).collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in written))) == sorted(map(str, rows))
+        slots = {k: sorted(r.slot for r in written if r.shard == k) for k in range(5)}
+        assert all(v == list(range(len(v))) and len(v) in (len(rows) // 5, -(-len(rows) // 5)) for v in slots.values())
+    placed = sharding.shard_rows(documents(spark, rows), 5, bucket_rows=10).collect()
+    assert sorted(str((r.doc_id, r.size, r.text_crc32)) for r in placed) == sorted(str((k, len(t or "") + 16, zlib.crc32((t or "").encode()))) for k, t in rows)
+    again = [r.shard for r in placed if r.doc_id == 2]
+    assert len(set(again)) == 5
+
+
 # --- quality
 
 
