@@ -17,19 +17,21 @@ at least ``percent`` in a hundred.
 5. Components of the confirmed links by alternating large and small stars.
 6. What the stars leave: members of a bucket, centres aside, that are still in different components. They
    meet by exact prefix filtering on their full sets: in any order of the hashes, two similar sets share
-   one among the first ``n - overlap + 1`` of each, and with the rarest first a template's hashes come
-   last, so its siblings do not meet by them. No pair of a bucket is left out.
+   one among the first few of each, fewer for the smaller set, and with the rarest first a template's hashes
+   come last, so its siblings do not meet by them. No pair of a bucket is left out.
 
 Two texts at the limit of 0.8 share no bucket at all with probability
 ``(1 - 0.8 ** ROWS) ** BANDS`` (3e-6); texts that are more alike, less.
 
 Cases with a defined result: null, empty and blank texts have an empty set, link with nothing and are
-kept; rows with the same id are one document; rows with a null id link with nothing and are kept, with
+kept; rows with the same id and text are one document; texts under one id that are not similar are labelled
+each on its own, and dropped or kept so; very long texts give long sets, hashed in one pass; rows with a null id link with nothing and are kept, with
 a null component; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,8 @@ BINS = BANDS * ROWS
 LOWER = bytes(range(256)).lower()
 #: Ids or pairs of ids are sent to every executor up to this many rows (about 64 MB); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Sizes of sets that meet by prefixes are classed in steps of this factor's logarithm.
+SIZE_STEP = math.log(1.05)
 #: Centres compared in the first and the second round.
 FIRST, SECOND = 1, 5
 
@@ -112,8 +116,8 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, f1, f2`` and ``bands`` (empty for an empty set)."""
-    fields = [docs.schema["doc_id"], StructField("n_shingles", LongType()), StructField("f1", LongType()), StructField("f2", LongType()), StructField("bands", ArrayType(LongType()))]
+    """``doc_id, t, n_shingles, f1, f2`` and ``bands`` (empty for an empty set)."""
+    fields = [docs.schema["doc_id"], StructField("t", LongType()), StructField("n_shingles", LongType()), StructField("f1", LongType()), StructField("f2", LongType()), StructField("bands", ArrayType(LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -125,7 +129,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             ends = np.cumsum([0, *(BANDS * (r is not None) for r in rows)])
             values = np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_shingles": pa.array(counts, pa.int64()),
+                "doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": pa.array(counts, pa.int64()),
                 "f1": pa.array([p[0] for p in prints], pa.int64()), "f2": pa.array([p[1] for p in prints], pa.int64()),
                 "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
             })
@@ -186,11 +190,15 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return left.groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
 
 
-def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of ``left`` from different components that may be similar: all that are, and few others.
+def prefix_meetings(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The meetings of ``left`` on a shared hash: ``node, component, n, rest`` of the smaller and the larger set.
 
     If the first hash two sets share has ``i`` and ``j`` before it, they share at most the smaller of ``n - i``
-    and ``m - j``, and similar ones share ``percent / (100 + percent)`` of ``n + m``.
+    and ``m - j``, and similar ones share ``percent / (100 + percent)`` of ``n + m``. As ``m >= n``, the smaller set
+    shows only the hashes with ``n - i >= 2 * percent / (100 + percent) * n``: siblings from a template that
+    are not similar have more hashes of their own than that leaves out, so none shows a hash of the template.
+    The larger set may show more, since ``n >= percent / 100 * m``. A size class in the key keeps sets
+    apart that the place of the hash forbids to be similar, before they meet.
     """
     own = sets.join(bounded(left), F.col("doc_id") == F.col("node")).select("node", "component", "stray", "n", F.explode("s").alias("h"))
     often = own.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
@@ -199,11 +207,26 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = shared.select("node", "component", "stray", "n", F.posexplode("shared").alias("place", "x"), (F.col("n") - F.size("shared")).alias("alone"))
     first = first.select("node", "component", "stray", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), F.col("x.h").alias("h")).filter(100 * F.col("rest") >= percent * F.col("n"))
     first = stage(first, "prefixes")
-    a, b = (first.select(*(F.col(c).alias(f"{c}_{end}") for c in ("h", "node", "component", "stray", "n", "rest"))) for end in "ab")
-    once = ~F.col("stray_b") | (F.col("node_a") < F.col("node_b"))
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("class", *(F.col(c).alias(f"{c}_{end}") for c in ("h", "node", "component", "stray", "n", "rest")))
+
+    size_class = lambda n: F.floor(F.log(n) / SIZE_STEP)
+    largest = F.expr(f"(rest * {100 + percent}) div {percent} - n")
+    small = side(first.filter(largest >= F.col("n")).withColumn("class", F.explode(F.sequence(size_class(F.col("n")), size_class(largest)))), "a")
+    large = side(first.withColumn("class", size_class(F.col("n"))), "b")
+    same = (F.col("h_a") == F.col("h_b")) & (small["class"] == large["class"])
+    larger = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    # of two that have not been compared one is stray
+    wanted = [f"{c}_{end}" for end in "ab" for c in ("node", "component", "n", "rest")]
+    strays = small.filter("stray_a").join(large, same & larger).select(*wanted)
+    return strays.union(small.filter("NOT stray_a").join(large.filter("stray_b"), same & larger).select(*wanted))
+
+
+def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``left`` from different components that may be similar: all that are, and few others."""
     close = ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (F.col("component_a") != F.col("component_b"))
-    pairs = a.filter("stray_a").join(b, (F.col("h_a") == F.col("h_b")) & once & close)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return prefix_meetings(left, sets, percent).filter(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,10 +266,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id`` (the smallest id reachable) and ``kept``."""
-    docs = texts(df, id_col, text_col)
-    signed = stage(signatures(docs, words), "signatures")
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of ``doc_id, text``, with the hash ``t`` of each row's text."""
+    signed = stage(signatures(docs.withColumn("t", F.xxhash64("text")), words), "signatures")
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stage(linkable.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = stage(bucket_members(classes), "members")
@@ -275,11 +297,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     named = classes.select("f1", "f2", "n", "node").join(labels, "node", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     found = signed.drop("bands").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id`` (the smallest id reachable) and ``kept``."""
+    return _labelled(texts(df, id_col, text_col), words, percent).drop("t")
 
 
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each component; columns stay."""
-    gone = unused(df, "_gone")
-    dropped = near_duplicates(df, words, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    """``df`` with one document of each component; columns stay. A row goes by its id and text, so another text under its id stays."""
+    gone, gone_text = unused(df, "_gone"), unused(df, "_gone_text")
+    dropped = _labelled(texts(df, id_col, text_col), words, percent).filter("NOT kept").select(F.col("doc_id").alias(gone), F.col("t").alias(gone_text)).distinct()
+    return df.join(dropped, (F.col(f"`{id_col}`") == F.col(gone)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(gone_text)), "left_anti")

@@ -407,6 +407,48 @@ def test_pairs_inside_a_template_family(spark):
     assert len(set(found.values())) == len(rows) - len(links)
 
 
+def test_meetings_grow_with_the_family(spark):
+    rng = random.Random(23)
+    meetings = []
+    for family in (150, 300):
+        rows = []
+        for k in range(family):
+            # siblings at 0.77 of different sizes, every tenth with a partner at 0.82 or more
+            inner = [f"f{k}x{i}" for i in range(31)]
+            for _ in range(2 if k % 10 == 0 else 1):
+                words = [f"t{i}" for i in range(870)] + inner + [f"r{len(rows)}x{i}" for i in range(99 + rng.randrange(6))]
+                rows.append((len(rows), " ".join(words)))
+        sets = minhash.full_sets(spark.createDataFrame(rows, "doc_id long, text string"), 1).cache()
+        left = sets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"), F.lit(True).alias("stray"))
+        found = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash.prefix_pairs(left, sets, 80).collect()}
+        twins = {(k, k + 1) for k in range(len(rows) - 1) if len(set(rows[k][1].split()) & set(rows[k + 1][1].split())) > 870}
+        assert len(twins) == family // 10 and twins <= found
+        meetings.append(minhash.prefix_meetings(left, sets, 80).count())
+    assert meetings[0] < 40 * 150 and meetings[1] < 2.2 * meetings[0]
+
+
+def test_prefixes_find_every_similar_pair_of_mixed_sizes(spark):
+    rng, rows = random.Random(29), []
+    for k in range(100):
+        base = [f"b{k % 12}x{i}" for i in range(rng.randrange(3, 9) * (1 + k % 12))]
+        rows.append((k, " ".join(base + [f"o{k}x{i}" for i in range(rng.randrange(0, 8))])))
+    own = [set(t.split()) for _, t in rows]
+    want = {(a, b) for a, b in combinations(range(100), 2) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    sets = minhash.full_sets(spark.createDataFrame(rows, "doc_id long, text string"), 1).cache()
+    for stray in ("true", "node % 100 <> 7"):
+        left = sets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).withColumn("stray", F.expr(stray))
+        found = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash.prefix_pairs(left, sets, 80).collect()}
+        assert want <= found and len(want) > 20
+
+
+def test_texts_under_one_id_stay_or_go_on_their_own(spark):
+    rng = random.Random(31)
+    one, two, three = (sentence(rng, 60, 9000) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (6, two + " more"), (7, three), (7, three), (None, one)]
+    left = minhash.one_of_each(documents(spark, rows)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(map(str, [(1, one), (5, two), (7, three), (7, three), (None, one)]))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(10)
     agree = []
