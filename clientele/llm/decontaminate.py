@@ -18,8 +18,10 @@ items with it))``, at most ``MAX_WEIGHT``; shingles that no item has weigh like
 An item shorter than a shingle is one shingle of all its words and matches only a text equal to it.
 
 Cases with a defined result: null and empty texts are not contaminated; items without words match
-nothing; equal items share one entry, and a result lists all their ids; rows with the same id are one
-document; null ids are one document too; an empty benchmark or empty documents give no rows.
+nothing; equal items share one entry, and a result lists all their ids; in the report rows with the same id
+are one document, and null ids are one too, but only rows whose own text is contaminated are dropped; very long
+texts are cut into windows like others; other columns are not read; an empty benchmark or empty documents
+give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.inputs import texts, whole
+from clientele.llm.inputs import texts, unused, whole
 from clientele.session import stage
 
 SHINGLE = 5
@@ -151,7 +153,9 @@ def contaminated(
     return hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"), F.max("similarity").alias("similarity"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without the contaminated ones; columns stay."""
-    bad = contaminated(documents, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_contaminated"))
-    return documents.join(bad, F.col(f"`{id_col}`").eqNullSafe(bad._contaminated), "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``documents`` without the contaminated ones; columns stay. A row goes by its id and text, so a clean text under the same or no id stays."""
+    key, text = unused(documents, "_key"), F.col(f"`{text_col}`")
+    keyed = documents.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t")).alias(key), text.alias("text"))
+    bad = contaminated(keyed, benchmark, id_col=key, text_col="text", **options).select(F.col("doc_id.id").alias("_bad_id"), F.col("doc_id.t").alias("_bad_text"))
+    return documents.join(bad, F.col(f"`{id_col}`").eqNullSafe(bad._bad_id) & (F.xxhash64(text) == bad._bad_text), "left_anti")
