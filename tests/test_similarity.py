@@ -285,3 +285,50 @@ def test_a_list_of_services_must_be_complete(spark):
 def test_blocks_stay_small_however_many_profiles():
     for rows in (10, 10**6, 10**9):
         assert rows / similarity.grid_size(rows, 8) <= similarity.BLOCK_ROWS
+
+
+def test_scores_and_nearest_do_not_pass_through_all_pairs(spark, monkeypatch):
+    baskets = dense_baskets(seed=12, clients=120)
+    fitted = recommender.fit(frame(spark, baskets))
+    monkeypatch.setattr(similarity, "similar_profiles", lambda *_: pytest.fail("all pairs were asked for"))
+    n, k = fitted.profiles.count(), 3
+    seats = similarity.stripes(fitted.profiles, 0.25)
+    times = seats.filter("side = 0").groupBy("client").count().agg(F.max("count")).first()[0]
+    assert times == 1  # all together: the rows of a stripe are in one task
+    near = seats.mapInArrow(cosine_blocks.nearest_kernel(0.25, k, False), "client string, neighbour string, similarity double")
+    assert n < near.count() < n * k * 2 < len(brute_pairs(baskets, 0.25))
+    found = seats.mapInArrow(cosine_blocks.scores_kernel(0.25, True), "client string, code long, score double, supporters long")
+    assert found.count() == found.select("client", "code").distinct().count()
+    want = {c: sorted(e)[:1][0][0] for c, e in brute_entries(baskets, 0.25).items()}
+    best = {r["client"]: -r["score"] for r in fitted.top(0.25, 1).collect()}
+    assert best == want
+    assert {r["client"] for r in fitted.clients(0.25).collect()} == set(want)
+    assert fitted.nearest_profiles(0.25, k).count() == fitted.profiles.count() * k
+
+
+@pytest.mark.parametrize("baskets", [sparse_baskets(seed=21, clients=90), dense_baskets(seed=22, clients=60, services=4)], ids=["sparse", "dense"])
+def test_scores_and_nearest_with_little_room(spark, monkeypatch, baskets):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "STRIPES_PER_CORE", 1)
+    for name, value in {"TILE_ROWS": 7, "MAX_ENTRIES": 30, "HELD_CELLS": 50, "WAITING": 3, "OUT_ROWS": 4}.items():
+        monkeypatch.setattr(cosine_blocks, name, value)
+    fitted = recommender.fit(frame(spark, baskets))
+    want = {}
+    for client, entries in brute_entries(baskets, 0.5).items():
+        for service in {e[2] for e in entries}:
+            scores = [-e[0] for e in entries if e[2] == service]
+            want[client, service] = (max(scores), len(scores))
+    got = {(r["client"], r["service"]): (r["score"], r["supporters"]) for r in fitted.candidates(0.5).collect()}
+    assert got == want
+    near = defaultdict(list)
+    for (a, b), s in brute_pairs(baskets, 0.25).items():
+        near[a].append((-s, b))
+        near[b].append((-s, a))
+    found = defaultdict(list)
+    for r in sorted(fitted.nearest(0.25, k=2).collect(), key=lambda r: r["rank"]):
+        found[r["client"]].append((-r["similarity"], r["neighbour"]))
+    assert dict(found) == {c: sorted(x)[:2] for c, x in near.items()}
+    raw = defaultdict(list)
+    for r in sorted(fitted.top_raw(0.5, 3).collect(), key=lambda r: r["rank"]):
+        raw[r["client"]].append((-r["score"], r["neighbour"], r["service"]))
+    assert dict(raw) == {c: e[:3] for c, e in brute_entries(baskets, 0.5).items()}
