@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,68 @@ def test_scores_and_nearest_with_little_room(spark, monkeypatch, baskets):
     for r in sorted(fitted.top_raw(0.5, 3).collect(), key=lambda r: r["rank"]):
         raw[r["client"]].append((-r["score"], r["neighbour"], r["service"]))
     assert dict(raw) == {c: e[:3] for c, e in brute_entries(baskets, 0.5).items()}
+
+
+def stripe_batches(counts):
+    """One stripe of one block that meets itself, as the kernels get it."""
+    n, width = counts.shape
+    owned = [np.flatnonzero(row) for row in counts]
+    columns = {
+        "group": pa.nulls(n, pa.string()), "stripe": pa.array([0] * n, pa.int32()), "block": pa.array([0] * n, pa.int32()),
+        "client": pa.array(range(n), pa.int64()), "members": pa.array([1 + i % 3 for i in range(n)], pa.int64()),
+        "norm2": pa.array((counts * counts).sum(axis=1), pa.int64()), "rarer": pa.array([0] * n, pa.int32()),
+        "codes": pa.array(owned, pa.list_(pa.int64())), "counts": pa.array([r[o] for r, o in zip(counts, owned)], pa.list_(pa.int64())),
+    }
+    for side in (0, 1):
+        meets = pa.array([[0] if side else []] * n, pa.list_(pa.int32()))
+        yield pa.record_batch({**columns, "side": pa.array([side] * n, pa.int32()), "meets": meets})
+
+
+def dense_counts(n, width):
+    counts = np.random.default_rng(31).integers(0, 5, (n, width))
+    counts[:, 0] += 1
+    counts[:, -1] = 0
+    counts[: n // 100, -1] = 1  # a service of few
+    return counts
+
+
+def all_cosines(counts):
+    norms = (counts * counts).sum(axis=1).astype(float)
+    sims = (counts @ counts.T) / np.sqrt(np.multiply.outer(norms, norms))
+    np.fill_diagonal(sims, -1)
+    return sims
+
+
+@pytest.mark.parametrize("offering", [False, True])
+def test_floors_rise_before_many_pairs_are_looked_at(monkeypatch, offering):
+    counts, k = dense_counts(1500, 12), 3
+    looked, exact = [], cosine_blocks.Meeting.exact
+    monkeypatch.setattr(cosine_blocks, "TILE_ROWS", 50)
+    monkeypatch.setattr(cosine_blocks.Meeting, "exact", lambda self, i, j: (looked.append(len(i)), exact(self, i, j))[1])
+    found = pa.Table.from_batches(cosine_blocks.nearest_kernel(0.3, k, offering)(stripe_batches(counts))).to_pylist()
+    sims = all_cosines(counts)
+    if offering:
+        sims[(counts > 0).astype(int) @ (counts > 0).T == (counts > 0).sum(axis=1)[None, :]] = -1
+    got = defaultdict(list)
+    for r in found:
+        got[r["client"]].append((-r["similarity"], r["neighbour"]))
+    for i, row in enumerate(sims):
+        assert sorted(got[i])[:k] == sorted((-s, j) for j, s in enumerate(row) if s > 0.3)[:k]
+    assert sum(looked) < 10 * k * len(counts)
+
+
+def test_best_scores_come_from_the_nearest_before_others_are_looked_up(monkeypatch):
+    counts = dense_counts(1500, 12)
+    looked, cross = [], np.ix_
+    monkeypatch.setattr(cosine_blocks, "TILE_ROWS", 500)
+    monkeypatch.setattr(np, "ix_", lambda *x: (looked.append(len(x[0]) * len(x[1])), cross(*x))[1])
+    found = pa.Table.from_batches(cosine_blocks.scores_kernel(0.3, True)(stripe_batches(counts))).to_pylist()
+    sims, owned = all_cosines(counts), counts > 0
+    want = {}
+    for i, c in np.argwhere(~owned):
+        near = np.flatnonzero((sims[i] > 0.3) & owned[:, c])
+        if len(near):
+            want[i, c] = (sims[i, near].max(), sum(1 + int(x) % 3 for x in near))
+    codes = {(r["client"], r["code"]): (r["score"], r["supporters"]) for r in found}
+    assert codes == want
+    assert sum(looked) < len(counts) ** 2 // 20
