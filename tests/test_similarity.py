@@ -1,6 +1,7 @@
 """Similarity and recommendations against brute force, both ways of meeting."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -398,3 +399,38 @@ def test_best_scores_come_from_the_nearest_before_others_are_looked_up(monkeypat
     codes = {(r["client"], r["code"]): (r["score"], r["supporters"]) for r in found}
     assert codes == want
     assert sum(looked) < len(counts) ** 2 // 20
+
+
+@pytest.mark.parametrize("query", [
+    lambda f: f.candidates(0.5), lambda f: f.clients(0.5), lambda f: f.top(0.5), lambda f: f.top_raw(0.5), lambda f: f.nearest(0.5, k=3),
+])
+def test_results_do_not_hold_the_shuffles_of_the_stripes(spark, query):
+    """What is shuffled for stripes and for the clients' profiles is gone before a result is read."""
+    rows = [(f"c{i}", s, 1 + i % 3) for i in range(12) for s in ("a", "b", f"s{i % 4}")]
+    fitted = recommender.fit(spark.createDataFrame(rows, "client string, service string, frequency long"))
+    found = query(fitted)
+    read = {name for path in found.inputFiles() for name in path.split("/")}
+    assert read & {"similarity_scores", "similarity_nearest"} and "client_vectors" not in read
+    assert not read & {"similarity_blocks", "similarity_stripes"}
+    assert found.count()
+
+
+def test_frequencies_are_counted_from_joined_rows_that_are_staged(spark):
+    lines = spark.createDataFrame([(1, "a", "g"), (1, "a", "g"), (2, "b", "g"), (3, "c", None), (None, "d", "g")], "TicketID long, Descr string, Group1 string").selectExpr("*", "1.0D AS Total")
+    tickets = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "x"), ("Closed", "z")], "TicketID string, ClientID string").selectExpr("*", "1.0D AS Total")
+    freq = recommender.ticket_service_freq(lines, tickets)
+    assert all("/client_services/" in path for path in freq.inputFiles()) and freq.inputFiles()
+    assert sorted(map(tuple, freq.collect())) == [("x", "a", 2), ("y", "b", 1)]
+
+
+def test_saving_leaves_no_shuffle_files(spark, tmp_path):
+    from test_session import shuffle_files
+
+    rows = [(f"c{i}", s, 1 + i % 3) for i in range(12) for s in ("a", "b", f"s{i % 4}")]
+    fitted = recommender.fit(spark.createDataFrame(rows, "client string, service string, frequency long"))
+    before = shuffle_files(spark)
+    fitted.save(str(tmp_path / "saved"))
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
