@@ -9,7 +9,8 @@
    is at least N; a value beyond N - 1 walks on along its cycle until it is inside.
 4. Shard ``k`` holds the slots from ``k * shard_sequences`` on, in order. A record is the sequence and
    a line feed, so record ``s`` of a shard starts at byte ``s * stride``: a reader that stops at a slot goes on
-   there, and any slot is one seek away.
+   there, and any slot is one seek away. The shards are written in a few passes, each of which shuffles
+   only its own records.
 
 Cases with a defined result: null and empty texts, and texts without tokens, have no sequence; repeated
 rows have sequences of their own; null ids are ordinary; an empty table gives no rows and no files;
@@ -31,12 +32,14 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from clientele.llm.bpe import encoder, read_vocabulary
 from clientele.llm.inputs import pieces, texts
-from clientele.session import new_path
+from clientele.session import new_path, shuffles_dropped
 
 LENGTH = 512
 #: 8 MB with the stride below, which a task holds when it reads a shard.
 SHARD_SEQUENCES = 8192
 PARTITIONS = 100_000
+#: So many parts of the shards are shuffled and written one after the other; a part's shuffle files go before the next begins.
+PASSES = 3
 ROUNDS = 6
 KEY = 0x5EED0F7A1D3C
 END = b"\n"
@@ -56,20 +59,21 @@ def tokenise(df: DataFrame, vocabulary: str, length: int = LENGTH, padding: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in pieces(batches, 2 << 20):
-            rows, parts, counts, data = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = own.packed(text or "")
-                full, rest = divmod(len(ids) // 2, length)
-                sequences = full + (rest > 0)
-                ids = ids.ljust(2 * length * sequences, b"\0") if padding == 0 else ids + padding.to_bytes(2, "little") * (length * sequences - len(ids) // 2)
-                rows += [row] * sequences
-                parts += range(sequences)
-                counts += [length] * full + [rest] * (rest > 0)
-                data += [ids[k : k + 2 * length] for k in range(0, len(ids), 2 * length)]
+            ids, counts = own.packed_all([text or "" for text in batch.column("text").to_pylist()])
+            sequences = -(-counts // length)
+            first = np.cumsum(sequences) - sequences
+            rows = np.repeat(np.arange(len(counts)), sequences)
+            part = np.arange(len(rows)) - first[rows]
+            records = np.full(len(rows) * length, padding, "<u2")
+            records[np.arange(len(ids)) + np.repeat(first * length - (np.cumsum(counts) - counts), counts)] = ids
+            borders = np.arange(len(rows) + 1, dtype=np.int32) * (2 * length)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "part": pa.array(parts, pa.int32()),
-                "n_tokens": pa.array(counts, pa.int32()), "ids": pa.array(data, pa.binary()),
+                "doc_id": batch.column("doc_id").take(pa.array(rows)), "part": pa.array(part, pa.int32()),
+                "n_tokens": pa.array(np.minimum(counts[rows] - part * length, length), pa.int32()),
+                "ids": pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(borders), pa.py_buffer(records)]),
             })
+        # the worker waits while other stages run
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, StructType(fields))
 
@@ -99,11 +103,10 @@ def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     # a name and a number per file, and a file per task that wrote sequences: under 100 MB for a million tasks
     counted = sorted((r.file, r.n) for r in sizes.collect())
-    starts, total = [], 0
-    for file, n in counted:
-        starts.append((file, total))
-        total += n
-    offsets = sequences.sparkSession.createDataFrame(starts, "file string, start long")
+    starts = np.cumsum([0, *(n for _, n in counted)])
+    total = int(starts[-1])
+    # from an Arrow table no Python worker is needed for it
+    offsets = sequences.sparkSession.createDataFrame(pa.table({"file": pa.array([f for f, _ in counted], pa.string()), "start": pa.array(starts[:-1], pa.int64())}))
     return rows.join(F.broadcast(offsets), "file").withColumn("index", F.col("start") + F.col("row")).drop("file", "row", "start"), total
 
 
@@ -118,7 +121,8 @@ def placed(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequences
     def slots(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    found = rows.withColumn("slot", slots("index")).drop("index")
+    # else a filter on the shard would compute the slot once more, in more workers
+    found = rows.withColumn("slot", slots.asNondeterministic()("index")).drop("index")
     shard = F.expr(f"cast(slot div {shard_sequences}L as int)")
     found = found.withColumn("shard", shard).withColumn("place", F.col("slot") % shard_sequences)
     return found.select("shard", "place", "slot", "doc_id", "part", "n_tokens", "ids")
@@ -129,21 +133,33 @@ def in_order(df: DataFrame, vocabulary: str, length: int = LENGTH, shard_sequenc
     return by_shard(placed(df, vocabulary, length, shard_sequences, key, **options))
 
 
-def by_shard(rows: DataFrame) -> DataFrame:
-    """Rows with ``shard`` and ``slot`` in range partitions of whole shards, sorted; shards have equal sizes, so the ranges are known without a sample."""
-    shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
+def shard_count(rows: DataFrame) -> int:
+    """How many shards the rows of ``placed`` fill; one if there are no rows."""
+    return (rows.agg(F.max("shard")).first()[0] or 0) + 1
+
+
+def by_shard(rows: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """Rows with ``shard`` and ``slot`` in range partitions of whole shards, sorted; shards have equal sizes, so the ranges are known without a sample.
+
+    Only the shards from ``first`` up to ``last``, excluded, if ``last`` is given.
+    """
+    if last is None:
+        last = shard_count(rows)
+    shards = last - first
     partitions = min(shards, PARTITIONS)
-    part = F.expr(f"cast(shard * {partitions}L div {shards}L as int)")
-    return rows.repartitionById(partitions, part).sortWithinPartitions("shard", "slot")
+    part = F.expr(f"cast((shard - {first}) * {partitions}L div {shards}L as int)")
+    wanted = rows.filter(F.col("shard").between(first, last - 1))
+    return wanted.repartitionById(partitions, part).sortWithinPartitions("shard", "slot")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
+def write_shards(ordered: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write the records of ``in_order``: one folder ``shard=k`` per shard with one binary file.
 
     A record leaves a task as raw bytes and the writer's line end; the writer commits whole files, so
     a lost executor leaves none half written.
     """
-    ordered.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END.decode()).text(path)
+    records = ordered.select("shard", F.col("ids").cast("string").alias("value"))
+    records.write.mode(mode).partitionBy("shard").option("lineSep", END.decode()).text(path)
 
 
 def written_records(spark: SparkSession, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
@@ -173,10 +189,15 @@ def written_records(spark: SparkSession, path: str, length: int = LENGTH, shard_
 def written(df: DataFrame, vocabulary: str, path: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, **options) -> DataFrame:
     """Write the shards to ``path``; per sequence ``doc_id, part, n_tokens`` and what its record in the files says.
 
-    A sequence without a record would have nulls.
+    The shards are written in ``PASSES`` parts, so the disk never holds the shuffle of all records. A
+    sequence without a record would have nulls.
     """
     rows = placed(df, vocabulary, length, shard_sequences, key, **options)
-    write_shards(by_shard(rows), path)
+    shards = shard_count(rows)
+    passes = min(PASSES, shards)
+    for k in range(passes):
+        with shuffles_dropped(df.sparkSession):
+            write_shards(by_shard(rows, shards * k // passes, shards * (k + 1) // passes), path, "append" if k else "errorifexists")
     return rows.select("slot", "doc_id", "part", "n_tokens").join(written_records(df.sparkSession, path, length, shard_sequences), "slot", "left")
 
 

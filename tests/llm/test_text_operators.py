@@ -510,6 +510,61 @@ def test_registered_order_comes_from_written_files(spark, tmp_path, monkeypatch)
     assert nothing.collect() == []
 
 
+def test_ids_of_many_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.read_vocabulary(VOCABULARY)), random.Random(41)
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    monkeypatch.setattr(bpe, "PACKED", 900)
+    usual = "abst'mdrevl '' \n\t\r\x0b\x1c\x85\xa0\x0012½²İıſÀéñ!|<>"
+    texts = ["", " ", "\n", "it's", "'s's", "a''s 'll've'r 're 'd", "x" * 300 + " " + "ab" * 40 + " y " + "!" * 70, "é" * 64 + " ok"]
+    texts += ["".join(rng.choice(usual) for _ in range(rng.randrange(60))) for _ in range(2000)] + [sentence(rng, 40, 10**6) for _ in range(100)]
+    mixed = texts + ["<|endoftext|>'s x", "x<|startoftext|>"] + ["".join(rng.choice(usual + "中ß́’") for _ in range(40)) for _ in range(200)]
+    plain = bpe.Vocabulary.tokens
+    for some in ([], [""], texts, mixed, texts[::-1]):
+        ids, counts = own.packed_all(some)
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    seen = []
+    monkeypatch.setattr(bpe.Vocabulary, "tokens", lambda self, word: seen.append(word) or plain(self, word))
+    fresh = bpe.Encoder(bpe.read_vocabulary(VOCABULARY))
+    fresh.packed_all([t for t in texts if len(t) < 64])
+    assert seen == []  # usual words are not looked up one by one
+
+
+def test_long_and_unknown_pairs_of_tokens(monkeypatch):
+    from clientele.llm import bpe_words
+
+    # a table of four places: every pair soon loses its place to another
+    monkeypatch.setattr(bpe_words, "PAIRS", 4)
+    own, rng = bpe.Encoder(bpe.read_vocabulary(VOCABULARY)), random.Random(43)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    for _ in range(2):
+        ids, sizes = own.together.ids(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words)]))
+        assert sizes.tolist() == [len(own._packed_letters(w)) // 2 for w in words]
+        assert ids.tobytes() == b"".join(own._packed_letters(w) for w in words)
+
+
+def test_shards_are_written_part_by_part(spark, tmp_path, monkeypatch):
+    rng, parts, write = random.Random(37), [], training_order.write_shards
+
+    def watched(ordered, *args):
+        parts.append({r.shard for r in ordered.select("shard").distinct().collect()})
+        plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1  # a filter on the shard computes no slot again
+        write(ordered, *args)
+
+    monkeypatch.setattr(training_order, "write_shards", watched)
+    rows = [(k, sentence(rng, rng.randrange(1, 200))) for k in range(120)]
+    found = training_order.written(documents(spark, rows), VOCABULARY, str(tmp_path / "order"), length=32, shard_sequences=20).collect()
+    shards = {r.shard for r in found}
+    assert len(parts) == training_order.PASSES and set().union(*parts) == shards and sum(map(len, parts)) == len(shards)
+    assert max(map(len, parts)) <= len(shards) // len(parts) + 1
+    assert sorted(r.slot for r in found) == list(range(len(found)))
+    files = {int(x.parent.name.split("=")[1]): x.read_bytes() for x in (tmp_path / "order").glob("shard=*/part-*")}
+    assert all(zlib.crc32(files[r.shard][r.byte_offset : r.byte_offset + 64]) == r.ids_crc32 for r in found)
+
+
 # --- language
 
 
