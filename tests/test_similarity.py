@@ -278,6 +278,32 @@ def test_nearest_profiles_are_the_best_of_all_pairs(spark):
     assert {c: sorted(v) for c, v in found.items()} == {c: sorted(v)[:4] for c, v in want.items()}
 
 
+def test_all_similar_profiles_are_found_not_only_the_nearest(spark, tmp_path):
+    import __spark_entry__
+
+    weights = [[1 + i % 4, 2, 3, 5 + i] for i in range(14)]  # all alike, so each has more than ten partners
+    parts = [(i, f"Brand#{i}", "T", 1) for i in range(1, 5)]
+    orders = [(c, c, 1.0) for c in range(1, 15)]
+    lines = [(c, s, 1, "F") for c, w in enumerate(weights, 1) for s, n in enumerate(w, 1) for _ in range(n)]
+    tables = {
+        "part": (parts, "p_partkey long, p_brand string, p_type string, p_size int"),
+        "orders": (orders, "o_orderkey long, o_custkey long, o_totalprice double"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string"),
+    }
+    for name, (rows, schema) in tables.items():
+        data = spark.createDataFrame(rows, schema)
+        if name == "orders":
+            data = data.withColumn("o_orderdate", F.expr("timestamp_ntz'1997-01-01 00:00:00'"))
+        if name == "lineitem":
+            data = data.selectExpr("*", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "timestamp_ntz'1997-01-01 00:00:00' AS l_shipdate")
+        data.write.parquet(str(tmp_path / f"{name}.parquet"))
+    baskets = {str(c): {f"Brand#{s}": n for s, n in enumerate(w, 1)} for c, w in enumerate(weights, 1)}
+    want = {p: s for (a, b), s in brute_pairs(baskets, 0.75).items() for p in ((a, b), (b, a))}
+    assert max(Counter(a for a, _ in want).values()) > 10 and len({tuple(sorted(b.items())) for b in baskets.values()}) == 14
+    found = __spark_entry__.queries()["client_similarity"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {(r["client"], r["neighbour"]): r["similarity"] for r in found} == want
+
+
 def test_a_list_of_services_must_be_complete(spark):
     freq = spark.createDataFrame([("a", "x", 1), ("a", "y", 2)], "client string, service string, frequency long")
     with pytest.raises(ValueError, match="lacks the service y"):
