@@ -410,6 +410,29 @@ def test_floors_rise_before_many_pairs_are_looked_at(monkeypatch, offering):
     assert sum(looked) < 10 * k * len(counts)
 
 
+@pytest.mark.parametrize("most", [1, 40, 10**5, 10**7], ids=str)
+@pytest.mark.parametrize("threshold", [0.0, 0.2, 0.5, 0.7, 0.98])
+def test_backing_is_exact_added_up_or_multiplied(monkeypatch, most, threshold):
+    monkeypatch.setattr(cosine_blocks, "TILE_ROWS", 300)
+    counts = dense_counts(300, 21)
+    batch = list(stripe_batches(counts))[1]
+    members = np.random.default_rng(5).integers(1, most + 1, len(counts))
+    batch = batch.set_column(batch.schema.get_field_index("members"), "members", pa.array(members, pa.int64()))
+    [part] = cosine_blocks._parts(pa.Table.from_batches([batch]), cosine_blocks.Numbers())
+    meeting = cosine_blocks.Meeting(part, part, False, cosine_blocks.Room())
+    owned = np.zeros((len(counts), part.width), dtype=np.int64)
+    owned[part.row, part.code] = 1
+    want = (all_cosines(counts) > threshold).astype(np.int64) @ (owned * members[:, None])
+    assert (meeting.backing(threshold) == want).all()
+
+
+def test_few_others_are_not_multiplied(monkeypatch):
+    counts = dense_counts(600, 12) + 3
+    monkeypatch.setattr(cosine_blocks.Part, "packed", property(lambda self: pytest.fail("a product was asked for")))
+    found = pa.Table.from_batches(cosine_blocks.scores_kernel(0.3, True)(stripe_batches(np.where(np.arange(12) % 600 == np.arange(600)[:, None] % 13, 0, counts))))
+    assert found.num_rows
+
+
 def test_best_scores_come_from_the_nearest_before_others_are_looked_up(monkeypatch):
     counts = dense_counts(1500, 12)
     looked, cross = [], np.ix_
