@@ -385,6 +385,14 @@ def dense_counts(n, width):
     return counts
 
 
+def sparse_counts(n, width):
+    rng = np.random.default_rng(33)
+    counts = np.zeros((n, width), dtype=np.int64)
+    for _ in range(3):
+        counts[np.arange(n), np.minimum(rng.geometric(0.05, n), width) - 1] += rng.integers(1, 4, n)
+    return counts
+
+
 def all_cosines(counts):
     norms = (counts * counts).sum(axis=1).astype(float)
     sims = (counts @ counts.T) / np.sqrt(np.multiply.outer(norms, norms))
@@ -410,6 +418,29 @@ def test_floors_rise_before_many_pairs_are_looked_at(monkeypatch, offering):
     assert sum(looked) < 10 * k * len(counts)
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.95])
+@pytest.mark.parametrize("width", [12, 400])
+def test_who_is_served_is_compared_until_one_is_found(monkeypatch, threshold, width):
+    counts = dense_counts(600, width) if width < 20 else sparse_counts(600, width)
+    compared, start = [], cosine_blocks.Meeting.__init__
+    monkeypatch.setattr(cosine_blocks, "TILE_ROWS", 40)
+    monkeypatch.setattr(cosine_blocks.Meeting, "__init__", lambda self, a, b, *x: (compared.append(a.rows * b.rows), start(self, a, b, *x))[1])
+    found = pa.Table.from_batches(cosine_blocks.served_kernel(threshold)(stripe_batches(counts))).to_pylist()
+    shared = (counts > 0).astype(int) @ (counts > 0).T
+    offers = (all_cosines(counts) > threshold) & (shared < (counts > 0).sum(axis=1)[None, :])
+    want = np.flatnonzero(offers.any(axis=1)).tolist()
+    assert sorted(r["client"] for r in found) == want
+    if offers.mean() > 0.3:
+        assert len(want) == len(counts) and sum(compared) < offers.size / 4
+
+
+def test_clients_served_do_not_need_their_nearest(spark, monkeypatch):
+    baskets = dense_baskets(seed=41, clients=80)
+    fitted = recommender.fit(frame(spark, baskets))
+    monkeypatch.setattr(recommend, "top_neighbours", lambda *_, **__: pytest.fail("nearest ones were asked for"))
+    assert sorted(r["client"] for r in fitted.clients(0.5).collect()) == sorted(brute_entries(baskets, 0.5))
+
+
 @pytest.mark.parametrize("most", [1, 40, 10**5, 10**7], ids=str)
 @pytest.mark.parametrize("threshold", [0.0, 0.2, 0.5, 0.7, 0.98])
 def test_backing_is_exact_added_up_or_multiplied(monkeypatch, most, threshold):
