@@ -458,6 +458,7 @@ def test_backing_is_exact_added_up_or_multiplied(monkeypatch, most, threshold):
 
 
 def test_few_others_are_not_multiplied(monkeypatch):
+    monkeypatch.setattr(cosine_blocks, "TILE_ROWS", 600)
     counts = dense_counts(600, 12) + 3
     monkeypatch.setattr(cosine_blocks.Part, "packed", property(lambda self: pytest.fail("a product was asked for")))
     found = pa.Table.from_batches(cosine_blocks.scores_kernel(0.3, True)(stripe_batches(np.where(np.arange(12) % 600 == np.arange(600)[:, None] % 13, 0, counts))))
